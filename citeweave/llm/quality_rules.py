@@ -16,7 +16,6 @@ are judged like others. Documents with several labels count as bad if any label
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -41,20 +40,18 @@ STOP_WORDS = frozenset(
     " le la les de des et un une du en que qui dans pour par sur est pas plus il au"
     " el los las y del se por con una su para como más o lo al".split()
 )
-_SYMBOLS = re.compile(r"[#*$%&|<>]")
-_UPPER = re.compile(r"[A-ZÀ-ÖØ-Þ]+")
-_DIGITS = re.compile(r"[0-9]+")
-_PUNCT = re.compile(r"[.,;:!?]+")
-_BLANK_BYTES = re.compile(rb"[\x20\x09-\x0D]+")
-_MARK_END = re.compile(r"[!|*#&%$>](?=\s|$)")
+_BLANK = " \t\n\x0b\x0c\r"
+#: Classes of ASCII characters as bytes; deleting a class from a text's bytes counts it.
+_CLASSES = {"blank": _BLANK.encode(), "symbol": b"#*$%&|<>", "upper": bytes(range(65, 91)), "digit": b"0123456789", "punct": b".,;:!?"}
+_MARK_ENDS = [m + b for m in "!|*#&%$>" for b in " \n"]
 
 
 def repeated_words(words: list) -> int:
     """Words that lie in a 3-word window found twice or more in the text."""
     windows = list(zip(words, words[1:], words[2:]))
-    counts = Counter(windows)
-    if len(counts) == len(windows):
+    if len(set(windows)) == len(windows):
         return 0
+    counts = Counter(windows)
     reach = n = 0
     for i, w in enumerate(windows):
         if counts[w] > 1:
@@ -69,31 +66,29 @@ def statistics(text: str | None) -> list[float]:
     raw = text.encode("utf-8", "surrogatepass")
     words = raw.split()  # bytes split at exactly the ASCII white space
     n = len(words)
-    lines = text.split("\n")
-    full = [x for x in lines if _BLANK_BYTES.sub(b"", x.encode("utf-8", "surrogatepass"))] if "\n" in text else [text] * bool(n)
+    full = [x for x in text.split("\n") if x.strip(_BLANK)]
     dup = len(full) - len(set(full))
-    blanks = sum(len(x) for x in _BLANK_BYTES.findall(raw))
-    chars = len(text) - blanks
-    symbols = len(_SYMBOLS.findall(text))
+    of = {k: len(raw) - len(raw.translate(None, c)) for k, c in _CLASSES.items()}
+    chars = len(text) - of["blank"]
     repeats = repeated_words(words)
-    per = max(n, 1)
-    lowered = [w.strip(".,;:!?") for w in text.lower().split()]
+    per, lowered = max(n, 1), text.lower().split()
+    marked = sum(map(text.count, _MARK_ENDS)) if of["symbol"] or "!" in text else 0
     ratios = [
         chars / per,
-        symbols / max(chars, 1),
+        of["symbol"] / max(chars, 1),
         dup / max(len(full), 1),
         repeats / per,
-        sum(map(len, _UPPER.findall(text))) / max(chars, 1),
-        sum(map(len, _DIGITS.findall(text))) / max(chars, 1),
-        sum(map(len, _PUNCT.findall(text))) / max(chars, 1),
+        of["upper"] / max(chars, 1),
+        of["digit"] / max(chars, 1),
+        of["punct"] / max(chars, 1),
         len(set(lowered)) / per,
         sum(1 for x in full if len(x) < 40) / max(len(full), 1),
-        sum(1 for w in lowered if w in STOP_WORDS) / per,
-        len(_MARK_END.findall(text)) / per,
+        sum(map(STOP_WORDS.__contains__, lowered)) / per,
+        marked / per,
         n / max(len(full), 1),
-        blanks / max(len(text), 1),
+        of["blank"] / max(len(text), 1),
     ]
-    return [n, chars, symbols, dup, repeats, *ratios]
+    return [n, chars, of["symbol"], dup, repeats, *ratios]
 
 
 def with_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
