@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_dedup, mixing, packing, quality_rules, sharding, url_filters
+from . import ann, html_extract, line_dedup, lm_scoring, mixing, ngram_join, packing, quality_rules, sharding, url_filters
 from ._common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -15,7 +15,11 @@ Query = Callable[[SparkSession, str], DataFrame]
 def queries() -> dict[str, Query]:
     return {
         "op1_quality_rules": lambda s, d: quality_rules.quality_digest(table(s, d, "documents"), table(s, d, "labels")),
+        "op2_lm_scoring": lambda s, d: lm_scoring.score(table(s, d, "documents")),
         "op3_sharding": lambda s, d: sharding.assign_shards(table(s, d, "documents").select("doc_id", "text")),
+        "op4_html_extraction": lambda s, d: html_extract.extract_pages(table(s, d, "pages").select("page_id", "url", "html")),
+        "op5_nearest_neighbours": lambda s, d: ann.nearest(table(s, d, "embeddings")),
+        "op6_ngram_join": lambda s, d: ngram_join.similar_documents(table(s, d, "documents")),
         "op7_url_filters": lambda s, d: url_filters.filter_digest(s, table(s, d, "pages")),
         "op8_packing": lambda s, d: packing.pack_documents(table(s, d, "documents")),
         "op9_mixing": lambda s, d: mixing.mix_digest(table(s, d, "documents")),
