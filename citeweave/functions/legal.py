@@ -225,23 +225,27 @@ _LAW = (
 def law_of_citation(quote: Column) -> Column:
     """L-09: the key of the law that a citation names, or null. The number is read in the original case, since the case
     tells OCR letters apart; a word between "Lei" and the number must be a form of "complementar"."""
-    flat, skeleton = T.flatten(quote), T.skeleton(quote)
-    has, skipped = quote.rlike(_LAW), F.regexp_extract(quote, _LAW, 1)
-    digits = F.coalesce(T.number_of(F.regexp_replace(F.regexp_extract(quote, _LAW, 2), r"(?U)[.\s]", "")), F.lit(""))
-    complementary = skeleton.contains("omplementar")
-    short = F.regexp_extract(flat, r"\blc\s*n?[º°o.\s]*([0-9]+)", 1)
-    named = None
-    for name in sorted(LAW_NAMES, key=len, reverse=True):
-        hit = skeleton.rlike(rf"\b\Q{_driver_skeleton(name)}\E\b")
-        named = F.when(hit, LAW_NAMES[name]) if named is None else named.when(hit, LAW_NAMES[name])
-    return (
-        F.when(has & (skipped != "") & ~T.skeleton(skipped).contains("omplementar"), F.lit(None).cast("string"))
-        .when(has & complementary, F.concat(F.lit("LC"), digits))
-        .when(has & (digits != ""), T.number_key(digits))
-        .when(short != "", F.concat(F.lit("LC"), short))
-        .when(skeleton.contains("eonstltul") | skeleton.contains("earta magna"), F.lit("CF"))
-        .otherwise(named)
-    )
+    parsed = F.struct(
+        T.flatten(quote).alias("flat"), T.skeleton(quote).alias("skeleton"), quote.rlike(_LAW).alias("has"),
+        T.skeleton(F.regexp_extract(quote, _LAW, 1)).alias("skipped"),
+        F.coalesce(T.number_of(F.regexp_replace(F.regexp_extract(quote, _LAW, 2), r"(?U)[.\s]", "")), F.lit("")).alias("digits"),
+    )
+
+    def choose(p: Column) -> Column:
+        has, skeleton, digits = p["has"], p["skeleton"], p["digits"]
+        short = F.regexp_extract(p["flat"], r"\blc\s*n?[º°o.\s]*([0-9]+)", 1)
+        out = (
+            F.when(has & (p["skipped"] != "") & ~p["skipped"].contains("omplementar"), F.lit(None).cast("string"))
+            .when(has & skeleton.contains("omplementar"), F.concat(F.lit("LC"), digits))
+            .when(has & (digits != ""), T.number_key(digits))
+            .when(short != "", F.concat(F.lit("LC"), short))
+            .when(skeleton.contains("eonstltul") | skeleton.contains("earta magna"), F.lit("CF"))
+        )
+        for name in sorted(LAW_NAMES, key=len, reverse=True):
+            out = out.when(skeleton.rlike(rf"\b\Q{_driver_skeleton(name)}\E\b"), LAW_NAMES[name])
+        return out
+
+    return T.let(parsed, choose)
 
 
 def form_of(quote: Column) -> Column:
@@ -271,15 +275,16 @@ def type_of_form(form: Column) -> Column:
 def implied_court(quote: Column) -> Column:
     """L-12: the court that a citation's class implies: classes written out first, the longest first, then the first
     token that is a class."""
-    flat = T.flatten(quote)
-    named = None
-    for phrase in sorted(WRITTEN_OUT, key=len, reverse=True):
-        value = COURT_OF_CLASS[WRITTEN_OUT[phrase]]
-        named = F.when(flat.contains(phrase), value) if named is None else named.when(flat.contains(phrase), value)
-    tokens = F.transform(F.split(F.replace(flat, F.lit("-"), F.lit(" ")), " "), lambda t: F.btrim(t, F.lit(".,")))
     courts = F.create_map(*[F.lit(x) for kv in COURT_OF_CLASS.items() for x in kv])
-    first = F.get(F.filter(tokens, lambda t: t.isin(*COURT_OF_CLASS)), F.lit(0))
-    return named.otherwise(F.try_element_at(courts, first))
+
+    def choose(flat: Column) -> Column:
+        tokens = F.transform(F.split(F.replace(flat, F.lit("-"), F.lit(" ")), " "), lambda t: F.btrim(t, F.lit(".,")))
+        named = F.when(F.lit(False), F.lit(None).cast("string"))
+        for phrase in sorted(WRITTEN_OUT, key=len, reverse=True):
+            named = named.when(flat.contains(phrase), COURT_OF_CLASS[WRITTEN_OUT[phrase]])
+        return named.otherwise(F.try_element_at(courts, F.get(F.filter(tokens, lambda t: t.isin(*COURT_OF_CLASS)), F.lit(0))))
+
+    return T.let(T.flatten(quote), choose)
 
 
 def summary_of_citation(quote: Column) -> Column:

@@ -8,9 +8,10 @@ from __future__ import annotations
 import difflib
 import json
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
@@ -33,6 +34,17 @@ _ACCENTED, _PLAIN = _latin()
 _MARKS = "".join(map(chr, range(0x300, 0x370)))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once, however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once: a generator stands between it and its uses, so that filters inferred
+    from joins don't repeat its expression."""
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def strip_accents(text: Column) -> Column:
     """T-01: letters without their marks; combining marks go."""
     return F.translate(text, _ACCENTED + _MARKS, _PLAIN)
@@ -128,8 +140,9 @@ def numeric_core(quote: Column) -> Column:
 
 def citation_key(quote: Column) -> Column:
     """T-13, T-11, T-14: the key of a citation; beyond 20 digits of a unified number the last 20 count."""
-    key = number_key(numeric_core(quote))
-    return F.when((F.char_length(key) > 20) & quote.rlike(r"(?U)[0-9]{7}\s*-\s*[0-9]{2}\s*\.\s*[0-9]{4}"), F.ltrim(F.right(key, F.lit(20)), F.lit("0"))).otherwise(key)
+    unified = quote.rlike(r"(?U)[0-9]{7}\s*-\s*[0-9]{2}\s*\.\s*[0-9]{4}")
+    clamp = lambda key: F.when((F.char_length(key) > 20) & unified, F.ltrim(F.right(key, F.lit(20)), F.lit("0"))).otherwise(key)
+    return let(number_key(numeric_core(quote)), clamp)
 
 
 def bank_key(text: Column) -> Column:

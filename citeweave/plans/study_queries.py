@@ -518,6 +518,85 @@ SELECT c.doc_id, count(*)::BIGINT AS n FROM citations c JOIN records r ON r.ord
 WHERE c.kind = 'exact' GROUP BY c.doc_id"""
 
 
+# --- streams: the batch form of the windowed counts
+
+
+def _windowed(kind):
+    def run(spark, d):
+        from ..streaming.ingest import windowed_counts
+
+        return windowed_counts(table(spark, d, "events"), kind)
+
+    return run
+
+
+TUMBLING_SQL = """
+SELECT date_trunc('day', ts) AS start, date_trunc('day', ts) + INTERVAL 1 DAY AS "end", event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2, 3"""
+SLIDING_SQL = """
+WITH h AS (SELECT time_bucket(INTERVAL 12 HOUR, ts, TIMESTAMP '1970-01-01') AS b, event_type, value FROM events),
+w AS (SELECT b AS start, event_type, value FROM h UNION ALL SELECT b - INTERVAL 12 HOUR, event_type, value FROM h)
+SELECT start, start + INTERVAL 24 HOUR AS "end", event_type, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM w GROUP BY 1, 2, 3"""
+SESSION_SQL = """
+WITH g AS (SELECT *, CASE WHEN ts >= lag(ts) OVER w + INTERVAL 30 MINUTE OR lag(ts) OVER w IS NULL THEN 1 ELSE 0 END AS opens FROM events WINDOW w AS (PARTITION BY event_type, user_id ORDER BY ts)),
+s AS (SELECT *, sum(opens) OVER (PARTITION BY event_type, user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g)
+SELECT min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", event_type, user_id, count(*)::BIGINT AS n, round(sum(value), 4) AS total FROM s GROUP BY event_type, user_id, k"""
+
+# --- noise, verifier, precision
+
+
+def noisy_keys(spark, d):
+    """G-10: noise never changes a citation's key."""
+    from ..functions.text import citation_key
+    from ..operators.synth import noisy
+
+    rows = fx.citations(spark, d).filter("kind in ('exact', 'plain')")
+    whole = F.array(F.struct(F.lit(0).alias("start"), F.char_length("quote").alias("end")))
+    rows = rows.withColumn("x", noisy("quote", whole, F.lit(0.3), F.concat_ws("-", "doc_id", "seq")))
+    end = F.get(F.col("x.spans"), F.lit(0))["end"] == F.char_length("x.text")
+    return rows.select("doc_id", "seq", citation_key(F.col("x.text")).alias("key"), end.alias("whole"))
+
+
+NOISY_SQL = with_sql(CITATIONS_SQL) + """
+SELECT doc_id, seq, (1000000 + (doc_id - doc_id % 3) * 7)::VARCHAR AS key, true AS whole FROM citations WHERE kind IN ('exact', 'plain')"""
+
+
+def verifier_scores(spark, d):
+    from ..operators.adjudicate import candidate_scores
+
+    a = fx.predictions(spark, d, "a").select("doc_id", "start", "end", "kind")
+    b = fx.predictions(spark, d, "b").select("doc_id", "start", "end", "kind", F.col("conf").alias("score"))
+    return candidate_scores(a, b)
+
+
+VERIFIER_SQL = with_sql(*_PRED) + """
+SELECT p.doc_id, p.start, p."end", p.kind, coalesce(max(r.conf), 0.0)::DOUBLE AS score FROM pred p LEFT JOIN rival r ON r.doc_id = p.doc_id AND r.kind = p.kind
+  AND (least(p."end", r."end") - greatest(p.start, r.start))::DOUBLE / (greatest(p."end", r."end") - least(p.start, r.start)) >= 0.5
+GROUP BY p.doc_id, p.start, p."end", p.kind"""
+
+
+def precision_study(spark, d):
+    from ..operators.adjudicate import precision_study as study
+
+    return study(fx.predictions(spark, d, "a"), fx.predictions(spark, d, "b")).withColumn("largest", F.round("largest", 6))
+
+
+PRECISION_SQL = with_sql(*_PRED) + """
+SELECT count(*) FILTER (WHERE p.conf IS NOT NULL AND r.conf IS NOT NULL)::BIGINT AS "both", count(*) FILTER (WHERE r.conf IS NULL)::BIGINT AS only_a, count(*) FILTER (WHERE p.conf IS NULL)::BIGINT AS only_b,
+  round(max(abs(p.conf - r.conf)), 6) AS largest, count(*) FILTER (WHERE (p.conf >= 0.95) <> (r.conf >= 0.95))::BIGINT AS crossings
+FROM pred p FULL JOIN rival r ON p.doc_id = r.doc_id AND p.start = r.start AND p."end" = r."end" """
+
+
+def fabricated(spark, d):
+    from ..operators.synth import fabricated_numbers
+
+    index = R.process_index(fx.records(spark, d)).select("key")
+    rows = fabricated_numbers(table(spark, d, "customer").select("c_custkey"), index, "c_custkey", "fab")
+    return rows.join(index, rows["number"] == index["key"], "left").groupBy().agg(F.count(F.lit(1)).alias("rows"), F.count("key").alias("known"))
+
+
+FABRICATED_SQL = "SELECT count(*)::BIGINT AS rows, 0::BIGINT AS known FROM customer"
+
+
 def queries():
     greedy = "iou DESC, gi, pi"
     return {
@@ -534,4 +613,7 @@ def queries():
         "threshold_sweep": (threshold_sweep, SWEEP_SQL), "dispersion": (dispersion, DISPERSION_SQL), "unseen_mass": (unseen_mass, UNSEEN_SQL),
         "common_patterns": (common_patterns, COMMON_SQL), "distribution": (distribution, DISTRIBUTION_SQL), "weighted_scores": (weighted_scores, None),
         "sample_per_group": (sample_per_group, SAMPLE_SQL), "folds": (folds, FOLDS_SQL), "weighted_choice": (weighted_choices, CHOICES_SQL),
+        "events_tumbling": (_windowed("tumbling"), TUMBLING_SQL), "events_sliding": (_windowed("sliding"), SLIDING_SQL), "events_session": (_windowed("session"), SESSION_SQL),
+        "noisy_keys": (noisy_keys, NOISY_SQL), "verifier_scores": (verifier_scores, VERIFIER_SQL), "precision_study": (precision_study, PRECISION_SQL),
+        "fabricated_numbers": (fabricated, FABRICATED_SQL),
     }
