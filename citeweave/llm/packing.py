@@ -77,44 +77,47 @@ def _best_pair(sizes: _Sizes, limit: int, without: tuple[int, ...]) -> tuple[int
     return best
 
 
-def dominance_reduction(counts: dict[int, int], capacity: int) -> tuple[Plan, dict[int, int]]:
-    """Fixes sequences that some best packing holds, from the longest piece down; returns them and what is left.
-
-    For the longest piece w and the space r it leaves: if not even the smallest piece fits, {w} is fixed. If the largest
-    piece b that fits fills r, or no two pieces fit together, {w, b} is fixed. If two fit together but no three, {w, b}
-    is fixed if b is no smaller than the largest sum of two that fit, and {w, x, y} if that largest sum fills r with its
-    larger piece equal to b. Else the piece stays for best fit.
-    """
-    sizes, plan, left = _Sizes(counts), [], {}
-    while sizes.order:
-        w = sizes.order[-1]
-        room, own = capacity - w, (w,)
-        few = sizes.smallest(3, own)
-        fits = sum(1 for i in range(len(few)) if sum(few[: i + 1]) <= room)
-        fixed: tuple[int, ...] | None = None
-        if not fits:
-            fixed = (w,)
-        else:
-            b = sizes.largest(room, own)
-            if fits == 1 or b == room:
-                fixed = (w, b)
-            elif fits == 2:
-                pair = _best_pair(sizes, room, own)
-                if b >= sum(pair):
-                    fixed = (w, b)
-                elif pair[0] == b and sum(pair) == room:
-                    fixed = (w, *pair)
-        if fixed is None:
-            left[w] = sizes.n[w]
-            sizes.take(w, left[w])
-            continue
-        # fewer pieces never weaken the reasons above, so the same set is found as long as each of its lengths lasts
-        need = {s: fixed.count(s) for s in fixed}
-        times = min(sizes.n[s] // k for s, k in need.items())
-        for s, k in need.items():
-            sizes.take(s, k * times)
-        plan.append((fixed, times))
-    return plan, left
+def _dominating(sizes: _Sizes, w: int, capacity: int) -> tuple[int, ...] | None:
+    """The set that dominates all others that hold a piece of length w, if there is one of at most three pieces.
+
+    For the space r beside w: if not even the smallest piece fits, {w}. If the largest piece b that fits fills r, or no
+    two pieces fit together, {w, b}. If two fit together but no three, {w, b} if b is no smaller than the largest sum of
+    two that fit, and {w, x, y} if that largest sum fills r with its larger piece equal to b."""
+    room, own = capacity - w, (w,)
+    few = sizes.smallest(3, own)
+    fits = sum(1 for i in range(len(few)) if sum(few[: i + 1]) <= room)
+    if not fits:
+        return own
+    b = sizes.largest(room, own)
+    if fits == 1 or b == room:
+        return (w, b)
+    if fits == 2:
+        pair = _best_pair(sizes, room, own)
+        if b >= sum(pair):
+            return (w, b)
+        if pair[0] == b and sum(pair) == room:
+            return (w, *pair)
+    return None
+
+
+def dominance_reduction(counts: dict[int, int], capacity: int, passes: int = 4) -> tuple[Plan, dict[int, int]]:
+    """Fixes sequences that some best packing holds, from the longest pieces down; returns them and what is left. Pieces
+    that no set dominates for stay among those that shorter pieces are compared with. What is fixed may make more sets
+    dominate, so there are up to `passes` passes."""
+    sizes, plan = _Sizes(counts), []
+    for _ in range(passes):
+        before = len(plan)
+        for w in reversed(sizes.order[:]):
+            while sizes.n.get(w) and (fixed := _dominating(sizes, w, capacity)):
+                # fewer pieces never weaken the reasons, so the set holds as long as each of its lengths lasts
+                need = {s: fixed.count(s) for s in fixed}
+                times = min(sizes.n[s] // k for s, k in need.items())
+                for s, k in need.items():
+                    sizes.take(s, k * times)
+                plan.append((fixed, times))
+        if len(plan) == before:
+            break
+    return plan, dict(sizes.n)
 
 
 def best_fit(counts: dict[int, int], capacity: int) -> Plan:
