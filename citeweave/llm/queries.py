@@ -40,5 +40,20 @@ GROUP BY l.doc_id
 """
 
 
+SIMILAR_SQL = r"""
+WITH RECURSIVE words AS (
+  SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+sets AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN []::VARCHAR[] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM words),
+tokens AS (SELECT doc_id, len(s) AS n, unnest(s) AS t FROM sets),
+links AS (
+  SELECT a.doc_id AS x, b.doc_id AS y FROM tokens a JOIN tokens b ON a.t = b.t AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 90 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 90 * (a.n + b.n - count(*))),
+reach AS (SELECT x AS doc_id, x AS other FROM links UNION SELECT r.doc_id, l.y FROM reach r JOIN links l ON l.x = r.other)
+SELECT s.doc_id, len(s)::BIGINT AS n_shingles, coalesce((SELECT min(other) FROM reach r WHERE r.doc_id = s.doc_id), s.doc_id) AS component_id FROM sets s
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_filters": url_filters.FILTER_SQL, "op9_mixing": mixing.MIX_SQL, "op10_line_dedup": LINE_SQL}
+    return {"op6_ngram_join": SIMILAR_SQL, "op7_url_filters": url_filters.FILTER_SQL, "op9_mixing": mixing.MIX_SQL, "op10_line_dedup": LINE_SQL}
