@@ -47,7 +47,7 @@ class Quantiser:
         return np.pad(x, ((0, 0), (0, whole - x.shape[1])))
 
     @classmethod
-    def fit(cls, x: np.ndarray, threshold: float = 0.2, rounds: int = 8, seed: int = 3) -> Quantiser:
+    def fit(cls, x: np.ndarray, threshold: float = 0.3, rounds: int = 8, seed: int = 3) -> Quantiser:
         """threshold: the inner product, as a share of the norms, from which errors matter."""
         dim, x = x.shape[1], cls._padded(x.astype(np.float64))
         rng, blocks = np.random.default_rng(seed), x.shape[1] // WIDTH
@@ -118,7 +118,7 @@ def _valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     return rows.filter(F.col("vec_id").isNotNull() & v.isNotNull() & F.coalesce(fine, F.lit(False)))
 
 
-def fit_quantisers(rows: DataFrame, sample: int = 20_000, threshold: float = 0.2) -> dict[int, Quantiser]:
+def fit_quantisers(rows: DataFrame, sample: int = 20_000, threshold: float = 0.3) -> dict[int, Quantiser]:
     """A quantiser for each length of vectors, from at most `sample` vectors in all and at least a few of each length."""
     lengths = [r[0] for r in rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count")).limit(64).collect()]
     out = {}
