@@ -3,6 +3,7 @@
 import os
 
 import pytest
+from pandas.api.types import is_bool_dtype, is_numeric_dtype
 
 from citeweave import catalog
 
@@ -24,8 +25,8 @@ def duck():
 def rows_of(frame):
     out = frame[sorted(frame.columns)].copy()
     for c in out.columns:
-        if out[c].dtype.kind == "f":
-            out[c] = out[c].round(9)
+        if is_numeric_dtype(out[c]) and not is_bool_dtype(out[c]):
+            out[c] = out[c].astype("float64").round(9)
     text = out.astype(str).replace({"None": "nan", "NaN": "nan", "<NA>": "nan", "NaT": "nan"})
     return sorted(map(tuple, text.to_numpy().tolist()))
 
