@@ -199,12 +199,30 @@ class WordEncoder:
     """Token ids of a text as little-endian unsigned 32-bit bytes.
 
     The tokenizer's pre-tokenizer drops white space and its normalizer works on characters, so a text's ids are those of
-    its words in order; the ids of a word are kept, up to a bounded number of words."""
+    its words in order; the ids of a word are kept, up to a bounded number of words. New words are encoded together,
+    with a separator between that no word holds."""
 
-    def __init__(self, path: str, end: int, most: int = 400_000):
+    def __init__(self, path: str, end: int, most: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.most, self.known = Tokenizer.from_file(path), end.to_bytes(4, "little"), most, {}
+        self.gap = self._ids("\x00")
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def _learn(self, words: list[str]) -> None:
+        if len(self.gap) == 1 and not any("\x00" in w for w in words):
+            ids = self._ids(" \x00 ".join(words))
+            cuts = np.flatnonzero(ids == self.gap[0])
+            if len(cuts) == len(words) - 1:
+                data, at = ids.tobytes(), 0
+                for w, cut in zip(words, [*(cuts * 4).tolist(), len(data)], strict=True):
+                    self.known[w] = data[at:cut]
+                    at = cut + 4
+                return
+        for w in words:
+            self.known[w] = self._ids(w).tobytes()
 
     def __call__(self, text: str | None) -> bytes:
         text = text or ""
@@ -219,16 +237,21 @@ class WordEncoder:
             pass
         if len(known) > self.most:
             known.clear()
-        new = list({w for w in words if w not in known})
-        for w, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False), strict=True):
-            known[w] = np.array(e.ids, dtype="<u4").tobytes()
+        self._learn([w for w in dict.fromkeys(words) if w not in known])
         return b"".join([known[w] for w in words]) + self.end
 
 
-def _tokenizer_path(name: str) -> str:
+#: One encoder for a Python worker, so that tasks find the words of those before them.
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+
+
+def _encoder(tokenizer: str, end: int) -> WordEncoder:
     import public_tokenizers
 
-    return public_tokenizers.path(name)
+    key = (public_tokenizers.path(tokenizer), end)
+    if key not in _ENCODERS:
+        _ENCODERS[key] = WordEncoder(*key)
+    return _ENCODERS[key]
 
 
 def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096, tokenizer: str = "word_bpe_49k.json", end: int = 1, with_ids: bool = False) -> DataFrame:
@@ -237,7 +260,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
     schema = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * with_ids
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = WordEncoder(_tokenizer_path(tokenizer), end)
+        encode = _encoder(tokenizer, end)
         step = 4 * capacity
         for batch in batches:
             rows = []
