@@ -31,13 +31,14 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType
 
-from ._common import LOWER_BYTES, free_name, stored
+from ._common import LOWER_BYTES, forget, free_name, stored
 
 CELL_BITS = 18
 BINS = 16
 _CHUNKS = 64
-_NEEDED_BITS = 18
+_NEEDED_BITS = 20
 _U = np.uint64
 
 
@@ -81,6 +82,28 @@ def _set_hash(s: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True)
 
 
+def signature(s: np.ndarray) -> bytes:
+    """Counts of a set's shingles in ranges of their low bits, 8 to 16 in a range on average, at most 255 in a byte."""
+    bins = max(16, 1 << max(0, (len(s) - 1) // 16).bit_length())
+    return np.minimum(np.bincount((s & _U(bins - 1)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """What two sets differ in at least, from their signatures: the finer one is folded to the ranges of the other.
+    Ranges that reach 255 count for no more than is sure."""
+    a, b = sorted((np.frombuffer(x, np.uint8).astype(np.int64), np.frombuffer(y, np.uint8).astype(np.int64)), key=len)
+    if len(a) < len(b):
+        if b.max(initial=0) >= 255:
+            return 0
+        b = np.minimum(b.reshape(-1, len(a)).sum(0), 255)
+    return int(np.abs(a - b).sum())
+
+
+@F.pandas_udf(IntegerType())
+def _differ(x: pd.Series, y: pd.Series) -> pd.Series:
+    return pd.Series([least_difference(a, b) for a, b in zip(x, y, strict=True)], dtype="int32")
+
+
 def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
@@ -95,19 +118,19 @@ def _digest(docs: DataFrame, words: int) -> DataFrame:
             for i, t in zip(batch["doc_id"], batch["text"], strict=True):
                 s = shingle(t)
                 sets.append(s)
-                rows.append((i, len(s), *_set_hash(s), np.bincount((s & _U(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32)))
+                rows.append((i, len(s), *_set_hash(s), np.bincount((s & _U(BINS - 1)).astype(np.int64), minlength=BINS).astype(np.int32), signature(s)))
             cells += np.bincount((np.concatenate(sets) >> _U(64 - CELL_BITS)).astype(np.int64), minlength=len(cells)) if sets else 0
-            out = pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "bins"])
+            out = pd.DataFrame(rows, columns=["doc_id", "n", "s1", "s2", "bins", "sig"])
             out["doc_id"] = out["doc_id"].astype("Int64")
             yield out.assign(chunk=pd.array([pd.NA] * len(out), "Int32"), counts=None)
         part = np.split(cells, _CHUNKS)
         none = [None] * _CHUNKS
         yield pd.DataFrame(
             {"doc_id": pd.array(none, "Int64"), "n": pd.array(none, "Int64"), "s1": pd.array(none, "Int64"), "s2": pd.array(none, "Int64"),
-             "bins": none, "chunk": pd.array(range(_CHUNKS), "Int32"), "counts": [p.tobytes() for p in part]}
+             "bins": none, "sig": none, "chunk": pd.array(range(_CHUNKS), "Int32"), "counts": [p.tobytes() for p in part]}
         )
 
-    return docs.mapInPandas(run, "doc_id long, n long, s1 long, s2 long, bins array<int>, chunk int, counts binary")
+    return docs.mapInPandas(run, "doc_id long, n long, s1 long, s2 long, bins array<int>, sig binary, chunk int, counts binary")
 
 
 def _cells(digest: DataFrame) -> np.ndarray:
@@ -128,14 +151,17 @@ def _cells(digest: DataFrame) -> np.ndarray:
 
 
 def _postings(docs: DataFrame, words: int, percent: int, cells: np.ndarray) -> DataFrame:
-    """(token, s1, s2, n, pos, rank): each prefix shingle with its place in the set's order; rank is small for sets
-    whose shingles are frequent. A set that a partition holds again is left out there, as its class is the same."""
-    shared = docs.sparkSession.sparkContext.broadcast(cells)
+    """Rows of two kinds, 16 bytes for each prefix shingle: (p, s1), p being 48 bits of the shingle, whether its cell is
+    hot (one bit) and its place in the set's order (15 bits, at most; a smaller place only weakens the filter); and
+    (null, s1, rank) for each set: rank is small for sets whose shingles are frequent. Shingles that share 48 bits, or
+    sets that share s1, are candidates too many, never too few. A set that a partition holds again is left out there, as
+    its class is the same."""
+    shared = docs.sparkSession.sparkContext.broadcast((cells, max(1000, int(cells.sum()) // 10_000)))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, counts, seen = Shingler(words), shared.value, set()
+        shingle, (counts, hot), seen = Shingler(words), shared.value, set()
         for batch in batches:
-            cols: list[list] = [[] for _ in range(6)]
+            packed, owners, ranks = [], [], []
             for t in batch["text"]:
                 s = shingle(t)
                 if not len(s) or (h := _set_hash(s)) in seen:
@@ -146,20 +172,41 @@ def _postings(docs: DataFrame, words: int, percent: int, cells: np.ndarray) -> D
                 df = counts[(s >> _U(64 - CELL_BITS)).astype(np.int64)]
                 k = prefix_length(len(s), percent)
                 order = np.lexsort((s, df))[:k]
-                for c, v in zip(cols, (s[order].view(np.int64), h[0], h[1], len(s), np.arange(k), -int(df.mean() * 16)), strict=True):
-                    c.append(v if isinstance(v, np.ndarray) else np.full(k, v, np.int64))
-            if cols[0]:
-                yield pd.DataFrame({n: np.concatenate(c) for n, c in zip(("token", "s1", "s2", "n", "pos", "rank"), cols, strict=True)})
+                place = np.minimum(np.arange(k), 2**15 - 1).astype(_U) | ((df[order] >= hot).astype(_U) << _U(15))
+                packed.append((s[order] & ~_U(0xFFFF)) | place)
+                owners.append(np.full(k, h[0], np.int64))
+                ranks.append((h[0], -int(df.mean() * 16)))
+            if packed:
+                yield pd.DataFrame({"p": np.concatenate(packed).view(np.int64), "s1": np.concatenate(owners)}).assign(rank=pd.array([pd.NA], "Int64").repeat(sum(map(len, packed))))
+                n = len(ranks)
+                yield pd.DataFrame({"p": pd.array([pd.NA], "Int64").repeat(n), "s1": [r[0] for r in ranks], "rank": pd.array([r[1] for r in ranks], "Int64")})
 
-    return docs.filter("doc_id is not null").select("text").mapInPandas(run, "token long, s1 long, s2 long, n long, pos long, rank long")
+    return docs.filter("doc_id is not null").select("text").mapInPandas(run, "p long, s1 long, rank long")
+
+
+def _shared_postings(postings: DataFrame) -> DataFrame:
+    """(token, pos, s1) of the shingles that different sets have in their prefixes. The postings of cold shingles are
+    dealt once, by shingle: what they are summed up to and what that is joined with is the same exchange. Hot ones are
+    summed up before they move, and joined as adaptive execution sees fit."""
+    cut = F.shiftright("p", 16).alias("token"), F.col("p").bitwiseAND(F.lit(2**15 - 1)).cast("int").alias("pos"), "s1"
+    is_hot = F.col("p").bitwiseAND(F.lit(2**15)) != 0
+    rows = postings.filter("p is not null")
+
+    def shared(part: DataFrame) -> DataFrame:
+        sums = part.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo <> hi")
+        return part.join(sums.select("token").hint("merge"), "token")
+
+    cold = shared(rows.filter(~is_hot).select(*cut).repartition("token"))
+    return cold.unionByName(shared(rows.filter(is_hot).select(*cut)))
 
 
 def _spread_join(rows: DataFrame, unique: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
     """rows inner join unique, which has each key once and in `weight` how many of the `total` rows have it. Keys with
-    a ten-thousandth of the rows, at most 10,000, are broadcast."""
+    a ten-thousandth of the rows, at most 10,000, are broadcast. The others are shuffled at every size, so that a small
+    input shows the plan of a large one."""
     heavy = max(1000, -(-total // 10_000))
     often, seldom = unique.filter(F.col(weight) >= heavy).drop(weight), unique.filter(F.col(weight) < heavy).drop(weight)
-    return rows.join(F.broadcast(often), on).unionByName(rows.join(seldom, on))
+    return rows.join(F.broadcast(often), on).unionByName(rows.join(seldom.hint("merge"), on))
 
 
 def _may_link(n1: Column, n2: Column, pos1: Column, pos2: Column, percent: int) -> Column:
@@ -175,13 +222,22 @@ def _suffix_allows(n1: Column, n2: Column, bins1: Column, bins2: Column, percent
     return differ <= most
 
 
+def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The suffix filter: the pairs whose signatures allow as many shingles in common as a link needs."""
+    sigs = classes.select("class_id", "n", "sig")
+    rows = pairs.join(sigs.toDF("a", "n1", "g1").hint("merge"), "a").join(sigs.toDF("b", "n2", "g2").hint("merge"), "b")
+    n = F.col("n1") + F.col("n2")
+    most = n - 2 * F.ceil(F.lit(percent) * n / F.lit(100 + percent))
+    return rows.withColumn("differ", _differ("g1", "g2")).filter(F.col("differ") <= most).select("a", "b")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that link. Only texts of classes in a pair are read into sets again: a fixed number
-    of hash cells thins the texts out before they are matched exactly."""
-    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    """The pairs (a, b) of classes that link. Only texts of classes in a pair are read into sets again: which ones these
+    are is sent around as a fixed number of hash cells, so no text is shuffled; the few sets of others meet no pair."""
+    pairs = near = stored(_plausible(pairs, classes, percent))
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(2**_NEEDED_BITS)).cast("int")
-    cells = needed.select(cell.alias("cell")).distinct()
-    texts = docs.withColumn("cell", cell).join(F.broadcast(cells), "cell", "left_semi").drop("cell").join(needed, "doc_id", "left_semi")
+    needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
+    texts = docs.withColumn("cell", cell).join(F.broadcast(needed.select(cell.alias("cell")).distinct()), "cell", "left_semi")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(words)
@@ -190,13 +246,18 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
             out = pd.DataFrame([_set_hash(s) for s in sets], columns=["s1", "s2"])
             yield out.assign(class_id=batch["doc_id"].to_numpy(), shingles=[s.view(np.int64) for s in sets])
 
-    sets = texts.mapInPandas(run, "s1 long, s2 long, class_id long, shingles array<long>")
-    own = classes.select("s1", "s2", "class_id").join(needed.withColumnRenamed("doc_id", "class_id"), "class_id", "left_semi")
-    sets = stored(sets.join(own, ["s1", "s2", "class_id"], "left_semi").dropDuplicates(["s1", "s2", "class_id"]).select("class_id", "shingles"))
-    both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("x")), "a")
-    both = both.join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("y")), "b")
+    sets = kept = stored(texts.select("doc_id", "text").mapInPandas(run, "s1 long, s2 long, class_id long, shingles array<long>"))
+    if not sets.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
+        # rows share a doc_id: of these only the text that the class is of
+        own = classes.select("s1", "s2", "class_id")
+        sets = sets.join(own, ["s1", "s2", "class_id"], "left_semi").dropDuplicates(["s1", "s2", "class_id"])
+    both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
+    both = both.join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
     both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    return both.filter(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common"))).select("a", "b").distinct()
+    linked = both.filter(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common")))
+    linked = stored(linked.select("a", "b").distinct())
+    forget(kept, near)
+    return linked
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -222,33 +283,34 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
 
 
 def link_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Of (doc_id, text): the digest (doc_id, n, s1, s2) of every row, the classes (s1, s2, class_id, n_docs) and the
-    links (a, b) between class_ids that connect all classes that links connect."""
+    """Of (doc_id, text): the digest (doc_id, n, s1, s2) of every row, the classes (s1, s2, class_id, n_docs) and
+    (node, component) of all classes that are linked."""
     digest = stored(_digest(docs, words))
     postings = stored(_postings(docs, words, percent, _cells(digest)))
-    rows = digest.filter("chunk is null").select("doc_id", "n", "s1", "s2", "bins")
+    rows = digest.filter("chunk is null").select("doc_id", "n", "s1", "s2", "bins", "sig")
     classes = rows.filter("n > 0 and doc_id is not null").groupBy("s1", "s2").agg(
-        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_docs"), F.first("bins").alias("bins")
+        F.min("doc_id").alias("class_id"), F.count(F.lit(1)).alias("n_docs"), F.first("n").alias("n"), F.first("bins").alias("bins"), F.first("sig").alias("sig")
     )
-    classes = stored(classes)
-    # shingles that different classes have in their prefixes
-    one = F.struct("s1", "s2")
-    shared = postings.groupBy("token").agg(F.min(one).alias("lo"), F.max(one).alias("hi"), F.count(F.lit(1)).alias("held"))
-    shared = stored(shared.filter("lo <> hi").select("token", "held"))
-    live = _spread_join(postings, shared, ["token"], "held", postings.count())
-    live = stored(live.join(classes.select("s1", "s2", "class_id", "bins"), ["s1", "s2"]).drop("s1", "s2").dropDuplicates(["token", "class_id"]))
+    ranks = postings.filter("p is null").groupBy("s1").agg(F.min("rank").alias("rank"))
+    classes = stored(classes.join(ranks.hint("merge"), "s1"))
+    live = _shared_postings(postings).join(classes.select("s1", "class_id", "n", "rank").hint("merge"), "s1").drop("s1")
+    live = stored(live.groupBy("token", "class_id").agg(F.min("pos").alias("pos"), *[F.first(c).alias(c) for c in ("n", "rank")]))
+    forget(postings)
     pivots = live.groupBy("token").agg(F.min(F.struct("rank", "class_id", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("held"))
     star = _spread_join(live, stored(pivots), ["token"], "held", live.count()).filter(
         (F.col("class_id") != F.col("p.class_id")) & _may_link(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos"), percent)
     )
     star = stored(star.select(F.greatest("class_id", "p.class_id").alias("a"), F.least("class_id", "p.class_id").alias("b")).distinct())
-    links = stored(_verified(star, docs, classes, words, percent))
+    links = _verified(star, docs, classes, words, percent)
     # what the pivots haven't connected
-    groups = components(links)
+    groups = stored(components(links))
+    bare = live
     live = live.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     live = stored(live)
+    forget(bare)
     split = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held")).filter("lo <> hi")
-    rest = stored(_spread_join(live, stored(split.select("token", "held")), ["token"], "held", live.count()))
+    rest = _spread_join(live, stored(split.select("token", "held")), ["token"], "held", live.count())
+    rest = stored(rest.join(classes.select("class_id", "bins").hint("merge"), "class_id"))
     x, y = rest.alias("x"), rest.alias("y")
     across = (
         (F.col("x.token") == F.col("y.token")) & (F.col("x.class_id") > F.col("y.class_id")) & (F.col("x.component") != F.col("y.component"))
@@ -257,15 +319,26 @@ def link_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[Da
     )
     pairs = x.join(y, across).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
     pairs = stored(pairs.join(star, ["a", "b"], "left_anti"))
-    more = stored(_verified(pairs, docs, classes, words, percent))
-    return rows.select("doc_id", "n", "s1", "s2"), classes.drop("bins"), links.unionByName(more)
+    more = _verified(pairs, docs, classes, words, percent)
+    forget(live, rest, star, pairs)
+    rows, classes = rows.select("doc_id", "n", "s1", "s2"), classes.drop("bins", "sig", "rank", "n")
+    if more.isEmpty():
+        return rows, classes, groups
+    # links between components: components of the graph whose nodes they are
+    name = groups.select(F.col("node").alias("x"), F.col("component").alias("c"))
+    for end in ("a", "b"):
+        more = more.join(name, F.col(end) == F.col("x"), "left").withColumn(end, F.coalesce("c", end)).drop("x", "c")
+    joined = components(more).select(F.col("node").alias("old"), F.col("component").alias("new"))
+    moved = groups.join(joined, F.col("component") == F.col("old"), "left").select("node", F.coalesce("new", "component").alias("component"))
+    alone = joined.join(groups.select(F.col("node").alias("old")), "old", "left_anti").select(F.col("old").alias("node"), F.col("new").alias("component"))
+    return rows, classes, moved.unionByName(alone)
 
 
 def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = 3, percent: int = 90) -> DataFrame:
     """(doc_id, n_shingles, component_id): one row per row of docs."""
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    rows, classes, links = link_classes(docs, words, percent)
-    named = classes.join(components(links).withColumnRenamed("node", "class_id"), "class_id", "left")
+    rows, classes, groups = link_classes(docs, words, percent)
+    named = classes.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
     named = stored(named.select("s1", "s2", F.coalesce("component", "class_id").alias("component_id"), "n_docs"))
     linked = _spread_join(rows.filter("n > 0 and doc_id is not null"), named, ["s1", "s2"], "n_docs", rows.count())
     alone = rows.filter("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
