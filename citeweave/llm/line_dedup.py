@@ -23,7 +23,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import BLANKS, ascii_lower, free_name, stored
+from ._common import BLANKS, ascii_lower, forget, free_name, stored
 
 _LEAST = -(2**63)
 
@@ -128,7 +128,9 @@ def dedup_lines(
     cuts = named.agg(F.percentile_approx(own, [i / batches for i in range(1, batches)], 1000)).first()[0] or []
     batch = reduce(lambda a, b: a + b, [(F.col("doc") > c).cast("int") for c in cuts], F.lit(0))
     keys = named.select(F.col(own).alias("doc"), F.explode(_keys_of(F.col(text), min_chars)).alias("h")).select("doc", "h.h1", "h.h2")
-    shared = stored(_shared_keys(stored(keys), min_docs).withColumn("batch", batch), ["batch"])
+    keys = stored(keys)
+    shared = stored(_shared_keys(keys, min_docs).withColumn("batch", batch), ["batch"])
+    forget(keys)
     store, gone = RunStore(fanout), []
     for b in reversed(range(batches)):
         part = shared.filter(F.col("batch") == b).select("doc", "h1", "h2")

@@ -218,12 +218,16 @@ def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
     return (n_words < 50) | (100 * n_repeat_words > 50 * n_words)
 
 
-def fit_rules(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality", sample: int = 20_000) -> list[Rule]:
-    """Rules that find documents labelled quality 0, learned from at most `sample` labelled rows."""
+def labelled(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality", sample: int = 20_000) -> DataFrame:
+    """(doc_id, q) of at most `sample` labelled documents, those with the least hash."""
     held = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).alias("q")).filter("doc_id is not null and q is not null")
     held = held.groupBy("doc_id").agg(F.min("q").alias("q"))
-    held = held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = stats.join(held, "doc_id").select("doc_id", "q", *COUNTS, *RATIOS).toPandas()  # bounded by sample
+    return held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+
+
+def fit_rules(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality", sample: int = 20_000) -> list[Rule]:
+    """Rules that find documents labelled quality 0, learned from at most `sample` labelled rows."""
+    rows = stats.join(F.broadcast(labelled(labels, doc_id, quality, sample)), "doc_id").select("doc_id", "q", *COUNTS, *RATIOS).toPandas()  # bounded by sample
     rows = rows.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
     if rows.empty:
         return []
@@ -247,7 +251,8 @@ def quality_digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", sample: int = 20_000) -> DataFrame:
     """The documents that the rules keep, with all their columns. Statistics are computed beside the row, in one more
     pass over the texts, so no text is shuffled."""
-    rules = fit_rules(stored(with_statistics(docs.join(labels.select(doc_id).distinct(), doc_id, "left_semi"), doc_id, text)), labels, doc_id, sample=sample)
+    chosen = F.broadcast(labelled(labels, doc_id, sample=sample).select(F.col("doc_id").alias(doc_id)))  # bounded by sample
+    rules = fit_rules(with_statistics(docs.join(chosen, doc_id, "left_semi"), doc_id, text), labels, doc_id, sample=sample)
     names = COUNTS + RATIOS
     spot = free_name(docs, "quality_stats")
 
