@@ -125,7 +125,7 @@ def choose_units(vocab: DataFrame, units: int = 128, classes: int = 64) -> Units
 class UnitReader:
     """Texts as arrays of units, an end after each; the units of words are kept, up to a bounded number."""
 
-    def __init__(self, units: Units, most: int = 400_000):
+    def __init__(self, units: Units, most: int = 200_000):
         self.units, self.most, self.known = units, most, {}
 
     def __call__(self, words: list[bytes]) -> list[int]:
@@ -158,8 +158,8 @@ def triple_counts(docs: DataFrame, units: Units) -> np.ndarray:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         read, total = UnitReader(shared.value), np.zeros(u**3, np.int64)
         for batch in batches:
-            texts = [read(words_of(t)) + [0] for t in batch["text"]]
-            if texts:
+            for at in range(0, len(batch), 500):  # a part of a batch at a time bounds the arrays
+                texts = [read(words_of(t)) + [0] for t in batch["text"].iloc[at : at + 500]]
                 ids = np.fromiter((i for t in texts for i in t), np.int64, sum(map(len, texts)))
                 two, one = _contexts(ids, np.array([len(t) for t in texts]))
                 total += np.bincount((two * u + one) * u + ids, minlength=u**3)
