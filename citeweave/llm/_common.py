@@ -8,8 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: The ASCII white space that separates words and pads lines, as a SQL string.
-BLANKS = "' \\t\\n\\u000b\\f\\r'"
+#: The ASCII white space that separates words and pads lines, as a SQL string. Spark SQL reads \f as the letter f.
+BLANKS = "' \\t\\n\\u000b\\u000c\\r'"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 #: For texts held in Python as UTF-8 bytes.

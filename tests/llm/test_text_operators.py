@@ -44,6 +44,17 @@ def test_line_dedup_is_brute_force(spark):
     assert got == want
 
 
+def test_line_keys_lose_blanks_and_no_letters(spark):
+    lines = ["for one of", "For one OF", "files are kept below", "Files are kept belowF", "f", "ff F", "\x0c", ""]
+    lines += [f"{b}f one of{b}{b}" for b in BLANK] + [f"{BLANK}{c}x{c}{BLANK}" for c in "fF"]
+    got = spark.createDataFrame([(x,) for x in lines], "line string").select("line", line_dedup.line_key(F.col("line")).alias("k")).collect()
+    assert [r.k for r in got] == [x.strip(BLANK).translate(LOWER) for x in lines]
+    shared = ["files are kept below", "For more, see the last page", "\x0cthe form feed stands before"]
+    docs = [(i, "\n".join(x.lower() if i == 2 else x.strip(BLANK) if i == 1 else x for x in shared)) for i in (1, 2, 3)]
+    docs += [(4, "or more, see the last page"), (5, "or more, see the last page")]  # a key of its own, in two documents
+    assert {r.doc_id: r.n_dropped for r in line_dedup.line_digest(spark.createDataFrame(docs, SCHEMA)).collect()} == {1: 3, 2: 3, 3: 0, 4: 0, 5: 0}
+
+
 def test_line_dedup_keeps_clashing_columns_and_empty_tables(spark):
     df = spark.createDataFrame([(1, "a", 7, "x")], "doc_id long, text string, n_lines int, H1 string")
     out = line_dedup.dedup_lines(df)
