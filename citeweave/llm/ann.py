@@ -9,7 +9,10 @@ of their id), a documented bound; every vector is indexed.
 Search: all vectors lie in packed blocks of about `block_rows`; queries in blocks of `query_rows`. Each pair of blocks
 builds the queries' tables (16 products per dimension pair; two tables are merged so that one byte reads eight bits),
 scans the codes, takes the `rerank` best different vectors for each query and computes their inner products exactly, in
-double precision. Each pair of blocks keeps the k best for a query, and the k best of these are the result.
+double precision. Reranking goes on with every other vector that can still reach the k-th exact score: an inner product
+is at most the coded score plus the query's norm times that of the vector's residual, which the index stores. Where many
+vectors are left, as in a group of near copies, one float32 matrix product with its rounding bound narrows them down
+first. So each pair of blocks gives the k best for a query, and the k best of these are the result: that of brute force.
 
 Vectors that are equal bit by bit are scanned once for a block and keep their k + 1 smallest ids there: more can't be
 among the k nearest, as ties go to smaller ids. So a vector that a third of all rows share costs no more than one.
@@ -100,6 +103,12 @@ class Quantiser:
         codes = self.encode(x)
         return codes[:, ::2] * np.uint8(CODES) + codes[:, 1::2]
 
+    def residuals(self, x: np.ndarray, packed: np.ndarray) -> np.ndarray:
+        """The norm of what the codes leave of each vector."""
+        codes = np.stack([packed // CODES, packed % CODES], 2).reshape(len(packed), -1)
+        near = self.books[np.arange(codes.shape[1]), codes].reshape(len(x), -1)
+        return np.linalg.norm(self._padded(x) - near, axis=1)
+
     def scan(self, queries: np.ndarray, packed: np.ndarray) -> np.ndarray:
         """Approximate inner products (queries, n) from tables."""
         q = self._padded(queries.astype(np.float64)).reshape(len(queries), -1, WIDTH)
@@ -130,7 +139,7 @@ def fit_quantisers(rows: DataFrame, sample: int = 20_000, threshold: float = 0.3
 
 
 def index(rows: DataFrame, quantisers: dict[int, Quantiser], k: int, block_rows: int = 16_384) -> DataFrame:
-    """The packed blocks: (dim, block, ids, starts, vectors, codes). ids holds, for each different vector, its k + 1
+    """The packed blocks: (dim, block, ids, starts, vectors, codes, residuals). ids holds, for each different vector, its k + 1
     smallest ids; starts says where those of a vector begin. own_ids and own_of hold every id with its vector."""
     shared = rows.sparkSession.sparkContext.broadcast(quantisers)
     n_blocks = max(1, -(-rows.count() // block_rows))
@@ -149,11 +158,12 @@ def index(rows: DataFrame, quantisers: dict[int, Quantiser], k: int, block_rows:
         keep = np.arange(len(by)) - begin[of[by]] <= k
         starts = np.searchsorted(of[by][keep], np.arange(len(at) + 1))
         quantiser = shared.value.get(dim) or Quantiser.fit(vectors[:1000])
-        packed = [ids[by][keep], starts, vectors, quantiser.packed(vectors), ids, of.astype(np.int64)]
-        return pd.DataFrame([[dim, int(pdf["block"].iloc[0]), *(a.tobytes() for a in packed)]], columns=["dim", "block", "ids", "starts", "vectors", "codes", "own_ids", "own_of"])
+        codes = quantiser.packed(vectors)
+        packed = [ids[by][keep], starts, vectors, codes, quantiser.residuals(vectors, codes), ids, of.astype(np.int64)]
+        return pd.DataFrame([[dim, int(pdf["block"].iloc[0]), *(a.tobytes() for a in packed)]], columns=["dim", "block", "ids", "starts", "vectors", "codes", "residuals", "own_ids", "own_of"])
 
     dealt = rows.select(F.size("embedding").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)).alias("block"), "vec_id", "embedding")
-    kinds = "dim int, block long, ids binary, starts binary, vectors binary, codes binary, own_ids binary, own_of binary"
+    kinds = "dim int, block long, ids binary, starts binary, vectors binary, codes binary, residuals binary, own_ids binary, own_of binary"
     return stored(dealt.groupBy("dim", "block").applyInPandas(pack, kinds))
 
 
@@ -183,15 +193,30 @@ def search(blocks: DataFrame, quantisers: dict[int, Quantiser], k: int = 20, eve
                 quantiser = shared.value.get(row.dim) or Quantiser.fit(x[:1000])
                 codes = np.frombuffer(row.codes, np.uint8).reshape(len(x), -1)
                 q_ids, q = np.frombuffer(row.q_ids, np.int64), np.frombuffer(row.q_vectors).reshape(-1, row.dim)
+                residuals = np.frombuffer(row.residuals)
                 for at in range(0, len(q), 64):
-                    yield best(q_ids[at : at + 64], q[at : at + 64], ids, starts, x, codes, quantiser)
+                    yield best(q_ids[at : at + 64], q[at : at + 64], ids, starts, x, codes, residuals, quantiser)
 
-    def best(q_ids, q, ids, starts, x, codes, quantiser) -> pd.DataFrame:
+    def best(q_ids, q, ids, starts, x, codes, residuals, quantiser) -> pd.DataFrame:
         scores, most = quantiser.scan(q, codes), max(rerank, k + 1)
         found: list[list] = [[], [], []]
+        norms, size = np.linalg.norm(q, axis=1), np.linalg.norm(x, axis=1) + residuals
+        close = None
         for i in range(len(q)):
             near = np.argpartition(-scores[i], most)[:most] if len(x) > most else np.arange(len(x))
             exact = (x[near] * q[i]).sum(1)  # summed row by row, so equal vectors score equally
+            if len(x) > most:
+                # k other ids at least reach the (k + 1)-th score; what isn't surely below it is reranked too
+                least = np.partition(exact, -k - 1)[-k - 1]
+                slack = norms[i] * size
+                slack = np.where(slack < 1e37, q.shape[1] * (slack * 2.0**-22 + 1e-37), np.inf)  # of sums in float32
+                may = ~(scores[i] + norms[i] * residuals + slack < least)
+                may[near] = False
+                if np.count_nonzero(may) > most:
+                    close = q.astype(np.float32) @ x.astype(np.float32).T if close is None else close
+                    may &= ~(close[i] + slack < least)
+                more = np.flatnonzero(may)
+                near, exact = np.r_[near, more], np.r_[exact, (x[more] * q[i]).sum(1)]
             count = starts[near + 1] - starts[near]
             which = np.repeat(starts[near], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
             all_ids, all_scores = ids[which], np.repeat(exact, count)
@@ -202,7 +227,7 @@ def search(blocks: DataFrame, quantisers: dict[int, Quantiser], k: int = 20, eve
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), found, strict=True)})
 
     n = blocks.count()
-    pairs = blocks.select("dim", "ids", "starts", "vectors", "codes").repartition(max(1, min(n, 2000))).crossJoin(asked.repartition(max(1, min(24 // max(n, 1), 8))))
+    pairs = blocks.select("dim", "ids", "starts", "vectors", "codes", "residuals").repartition(max(1, min(n, 2000))).crossJoin(asked.repartition(max(1, min(24 // max(n, 1), 8))))
     near = pairs.mapInPandas(scan, "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -68,6 +68,16 @@ def test_nearest_is_nearly_brute_force(spark):
     assert len(out) == 20 * len(exact) and sum(found.values()) >= 0.95 * len(out)
 
 
+@pytest.mark.parametrize("jitter", [0.05, 0.005, 1e-6])
+def test_nearest_finds_all_in_a_group_of_near_copies(spark, jitter):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(2400, 64))
+    x[::3] = x[0] + jitter * rng.normal(size=(800, 64))  # a third of all rows
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = {(r.query_id, r["rank"]): r.vec_id for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=60).collect()}
+    assert got == {(q, n): i for q, near in brute(rows, 20, 60).items() for n, (_, i) in enumerate(near, 1)}
+
+
 def test_nearest_with_ties_and_bad_vectors(spark):
     rows = [(i, [1.0, 2.0, 3.0]) for i in range(100)] + [(100, [3.0, 3.0, 3.0]), (101, [0.0, 0.0, 0.0]), (102, None), (103, [1.0, None, 1.0]), (104, [float("nan"), 1.0, 1.0])]
     rows += [(105, [float("inf"), 1.0, 1.0]), (None, [1.0, 1.0, 1.0]), (106, []), (0, [1.0, 2.0, 3.0]), (120, [1.0, 1.0])]
