@@ -172,6 +172,23 @@ def dispersion(values: DataFrame, value: str, by: list[str]) -> DataFrame:
     return values.groupBy(*by).agg(F.avg(v).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"), (F.max(v) - F.min(v)).alias("range"), F.stddev_samp(v).alias("stdev"))
 
 
+def pooled_f1(counts: DataFrame, by: list[str]) -> DataFrame:
+    """M-28: F1 of the sums of tp, fp and fn over documents and seeds."""
+    s = counts.groupBy(*by).agg(*[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
+    return s.withColumn("f1", f1(F.col("tp"), F.col("fp"), F.col("fn")))
+
+
+def confidence_tail(spans: DataFrame, conf: str = "conf", hit: str = "hit", least: int = 10) -> DataFrame:
+    """M-30: of the hits, how many there are, the least confidence, how many lie below 0.98, 0.95 and 0.90, and the
+    `least` smallest; and how many spans are no hit."""
+    c, h = F.col(conf), F.col(hit)
+    smallest = spans.filter(h & c.isNotNull()).select(c.alias("c")).orderBy("c").limit(least)
+    smallest = smallest.agg(F.transform(F.array_sort(F.collect_list("c")), lambda x: F.round(x, 4)).alias("smallest"))
+    below = [F.count_if(h & (c < t)).alias(f"below_{round(100 * t):03d}") for t in (0.98, 0.95, 0.9)]
+    counts = spans.agg(F.count_if(h).alias("hits"), F.count_if(~h).alias("false_positives"), F.round(F.min(F.when(h, c)), 4).alias("least"), *below)
+    return counts.crossJoin(smallest)  # one row each
+
+
 def unseen_mass(items: DataFrame, item: str) -> DataFrame:
     """M-33: Chao's estimate of the kinds not seen, from how many were seen once and twice."""
     n = items.groupBy(item).agg(F.count(F.lit(1)).alias("n"))
