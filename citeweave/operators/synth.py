@@ -1,4 +1,4 @@
-"""Synthetic documents and noise (G-01 to G-18): deterministic, by hashed draws; offsets by running sums of lengths."""
+"""Synthetic documents and noise (G-01, G-02, G-05 to G-16): deterministic, by hashed draws; offsets by running sums of lengths."""
 
 from __future__ import annotations
 
@@ -60,12 +60,33 @@ def unambiguous(index: DataFrame) -> DataFrame:
     return index.withColumn("n", n).filter("n = 1").drop("n")
 
 
+#: Seven digits.
+_FIRST, _NUMBERS = 1_000_000, 9_000_000
+
+
 def fabricated_numbers(rows: DataFrame, index: DataFrame, key: str, seed: str, tries: int = 5) -> DataFrame:
-    """G-08: for each row a number that no record has: the first of several draws that survives an anti join."""
+    """G-08: for each row a number that no record has: the first of several draws that survives an anti join. Rows with
+    no such draw get one drawn from the list of all free numbers; if there is none, this fails."""
+    taken = index.select(F.col("key").alias("number")).distinct()
     drawn = rows.withColumn("attempt", F.explode(F.sequence(F.lit(0), F.lit(tries - 1))))
-    number = (F.lit(1_000_000) + F.floor(draw(seed, F.col(key), F.col("attempt")) * 9_000_000)).cast("long").cast("string")
-    free = drawn.withColumn("number", number).join(index.select(F.col("key").alias("number")).distinct(), "number", "left_anti")
-    return free.groupBy(key).agg(F.min_by("number", "attempt").alias("number"))
+    number = (F.lit(_FIRST) + F.floor(draw(seed, F.col(key), F.col("attempt")) * _NUMBERS)).cast("long").cast("string")
+    free = drawn.withColumn("number", number).join(taken, "number", "left_anti")
+    found = free.groupBy(key).agg(F.min_by("number", "attempt").alias("number"))
+    left = rows.select(key).distinct().join(found.select(F.col(key).alias("done")), F.col(key).eqNullSafe(F.col("done")), "left_anti")
+    if left.isEmpty():
+        return found
+    every = rows.sparkSession.range(_FIRST, _FIRST + _NUMBERS).select(F.col("id").cast("string").alias("number"))
+    every = every.join(taken, "number", "left_anti").withColumn("bucket", F.substring("number", 1, 3))
+    counts = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"))  # at most 900 rows
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    if not total:
+        raise ValueError("every number is taken")
+    before = F.sum("n").over(Window.orderBy("bucket")) - F.col("n")
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("number")) - 1
+    listed = every.withColumn("place", place).join(F.broadcast(counts.select("bucket", before.alias("before"))), "bucket")
+    listed = listed.select("number", (F.col("before") + F.col("place")).cast("long").alias("place"))
+    chosen = left.withColumn("place", F.floor(draw(seed, F.col(key), F.lit("free")) * total).cast("long"))
+    return found.unionByName(chosen.join(listed, "place").select(key, "number"))
 
 
 def assemble(parts: DataFrame, doc: str = "doc_id", order: str = "seq", piece: str = "piece", is_citation: str = "is_citation") -> tuple[DataFrame, DataFrame]:

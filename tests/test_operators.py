@@ -154,6 +154,16 @@ def test_synthesis(spark):
     assert chain == "Embargos de Declaração no Recurso Especial"
 
 
+def test_fabricated_numbers_leave_no_row_out(spark):
+    free = {1_000_000, 5_432_198, 9_999_999}
+    index = spark.range(1_000_000, 10_000_000).filter(~F.col("id").isin(*free)).select(F.col("id").cast("string").alias("key"))
+    rows = spark.range(40).select(F.col("id").alias("row"))
+    got = synth.fabricated_numbers(rows, index, "row", "s").collect()
+    assert sorted(r.row for r in got) == list(range(40)) and {int(r.number) for r in got} == free
+    with pytest.raises(ValueError, match="taken"):
+        synth.fabricated_numbers(rows, spark.range(1_000_000, 10_000_000).select(F.col("id").cast("string").alias("key")), "row", "s")
+
+
 def test_stream(spark, tmp_path):
     spark.createDataFrame([(1, "Conforme o REsp 1.234.567/SP no corpo. " * 9)], "doc_id long, text string").write.parquet(str(tmp_path / "in"))
     stream = ingest.citations_of_stream(ingest.stream_documents(spark, str(tmp_path / "in"), "doc_id long, text string"))
