@@ -261,7 +261,7 @@ def fit(docs: DataFrame, units: int = 128, classes: int = 64, head: int = 30_000
         w = word.encode()
         u = chosen.of(w) if word else 0
         scored[w] = (float(np.log10((c + ALPHA) / (n + ALPHA * (v + 1)))), 0.0 if u < first else float(_in_class(c, chosen.tokens[u], chosen.words[u])))
-    scored.setdefault(b"", (float(np.log10(ALPHA / (n + ALPHA * (v + 1)))), 0.0))
+    scored.setdefault(b"", (float(np.log10((chosen.tokens[0] + ALPHA) / (n + ALPHA * (v + 1)))), 0.0))  # whatever its rank
     return Scorer(chosen, model.table(), scored), vocab, n, v
 
 

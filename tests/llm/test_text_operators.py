@@ -114,6 +114,12 @@ def test_lm_scores(spark):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen) + 10
 
 
+def test_lm_counts_the_end_beyond_the_head(spark):
+    docs = spark.createDataFrame([(i, "aa bb cc " * 5) for i in range(1, 9)], SCHEMA)
+    scorer, _, n, v = lm_scoring.fit(docs, units=8, classes=4, head=2, rounds=2)
+    assert scorer.head[b""][0] == pytest.approx(math.log10((8 + 0.1) / (n + 0.1 * (v + 1)))) and (n, v) == (128, 4)
+
+
 def test_lm_is_normalised():
     model = lm_scoring.LogBilinear(9, 4)
     counts = np.random.default_rng(1).integers(0, 50, (9, 9, 9))
