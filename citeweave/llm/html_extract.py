@@ -1,10 +1,12 @@
 """Main text of web pages from flat text blocks and a decision tree.
 
 A page becomes a flat list of text blocks: runs of text between block-level tags. Each block has its word count and
-link density, those of its two neighbours, and what its open tags say: whether they stand inside an article, and
-whether one of them (by its tag, or by a word of its class, id or role) is a container of menus, notices, adverts,
-forms, comments and the like. A decision tree decides which blocks are main text. The tree is grown here, by Gini
-impurity, on a small labelled table of typical blocks; a leaf's label is the one most of its rows have.
+link density, those of its two neighbours, whether it is a heading, and two hints from its open tags: whether they stand
+inside an article, and whether one of them (by its tag, or by a word of its class, id or role) is a container of menus,
+notices, adverts, forms, comments and the like, whose running text no count of words tells from an article's. A decision
+tree decides which blocks are main text. It is grown here, by Gini impurity, on a small table of the labelled blocks of
+typical pages, marked up well, badly or not at all; a leaf's label is the one most of its rows have. Inside an
+article link lists go and links amid running text stay; on pages without hints the counts alone decide.
 
 Blocks that stay are joined by a line feed in page order. Inside a block, character references are decoded and runs of
 white space become one space; <br> counts as white space. Nothing else is dropped or cut.
@@ -185,25 +187,65 @@ def features(found: list[Block]) -> np.ndarray:
     return np.column_stack([words[1:-1], links[1:-1], words[:-2], links[:-2], words[2:], links[2:], flags])
 
 
+#: The labelled blocks of typical pages, in page order: words, link density, hints (a: in an article, x: in
+#: a container beside the main text, h: a heading) and whether the block is main text.
+PAGES = [
+    # an article marked up as such, between menu, advert and footer
+    [(1, 1.0, "x", 0)] * 4 + [(7, 0.0, "x", 0), (9, 0.0, "ah", 1), (60, 0.0, "a", 1), (45, 0.05, "a", 1), (5, 0.0, "a", 1), (30, 0.1, "a", 1), (9, 0.3, "x", 0)],
+    # a short one, and one of a single word
+    [(2, 1.0, "x", 0)] * 3 + [(6, 0.0, "ah", 1), (12, 0.0, "a", 1), (4, 0.0, "x", 0)],
+    [(1, 1.0, "x", 0), (1, 1.0, "x", 0), (1, 0.0, "ah", 1), (1, 0.0, "a", 1), (3, 0.0, "x", 0)],
+    [(1, 1.0, "x", 0), (8, 0.0, "x", 0), (2, 0.0, "a", 1), (6, 0.0, "x", 0)],
+    [(10, 0.0, "ah", 1), (3, 0.0, "a", 1)],
+    [(4, 0.0, "a", 1)],
+    # links follow a short last paragraph, or stand before a short first one
+    [(7, 0.0, "ah", 1), (66, 0.0, "a", 1), (4, 0.0, "a", 1), (2, 1.0, "x", 0), (3, 1.0, "x", 0), (1, 1.0, "x", 0)],
+    [(2, 1.0, "x", 0), (3, 0.0, "a", 1), (11, 0.0, "a", 1), (2, 1.0, "x", 0), (2, 1.0, "", 0)],
+    [(2, 1.0, "", 0), (5, 0.0, "a", 1), (2, 0.0, "a", 1), (14, 1.0, "", 0), (3, 0.0, "", 0)],
+    [(1, 1.0, "x", 0), (6, 0.0, "a", 1), (1, 1.0, "x", 0), (2, 1.0, "x", 0)],
+    [(1, 1.0, "x", 0), (4, 0.0, "ah", 1), (2, 1.0, "x", 0), (1, 1.0, "", 0)],
+    [(24, 0.0, "a", 1), (3, 0.0, "ah", 1), (40, 0.6, "a", 1), (5, 0.0, "ah", 1), (2, 1.0, "x", 0)],
+    [(3, 0.0, "a", 1), (2, 1.0, "x", 0)],
+    [(30, 0.0, "x", 0), (6, 0.0, "ah", 1), (4, 1.0, "a", 1), (44, 0.0, "a", 1)],
+    [(12, 1.0, "", 0), (2, 0.0, "a", 1), (3, 1.0, "", 0), (5, 0.0, "", 0), (2, 1.0, "", 0)],
+    [(1, 1.0, "", 0), (30, 0.0, "a", 1), (6, 1.0, "", 0), (2, 0.0, "h", 0), (4, 1.0, "", 0)],
+    # an article with a link amid its text, tags and further reading at its end
+    [(2, 1.0, "x", 0), (8, 0.0, "ah", 1), (70, 0.0, "a", 1), (3, 1.0, "a", 1), (50, 0.2, "a", 1), (5, 1.0, "a", 0), (6, 1.0, "a", 0), (4, 1.0, "a", 0), (3, 0.0, "x", 0)],
+    [(9, 0.0, "ah", 1), (40, 0.0, "a", 1), (6, 0.9, "a", 1), (35, 0.0, "a", 1), (2, 1.0, "a", 0), (2, 1.0, "a", 0), (2, 1.0, "a", 0), (20, 0.5, "x", 0)],
+    # a menu inside the article, at its top
+    [(1, 1.0, "a", 0), (2, 1.0, "a", 0), (1, 1.0, "a", 0), (7, 0.0, "ah", 1), (55, 0.0, "a", 1), (25, 0.3, "a", 1)],
+    # share line, form and comments inside the article
+    [(8, 0.0, "ah", 1), (90, 0.0, "a", 1), (3, 1.0, "ax", 0), (2, 0.0, "ax", 0), (40, 0.0, "ax", 0), (15, 0.0, "ax", 0), (65, 0.05, "ax", 0), (2, 0.5, "ax", 0)],
+    # an advert and a notice amid the text
+    [(30, 0.05, "x", 0), (7, 0.0, "ah", 1), (48, 0.0, "a", 1), (12, 0.0, "ax", 0), (52, 0.0, "a", 1), (9, 0.4, "ax", 0), (33, 0.0, "a", 1), (25, 0.1, "x", 0)],
+    # a list and a table inside an article
+    [(6, 0.0, "ah", 1), (20, 0.0, "a", 1), (4, 0.0, "a", 1), (3, 0.0, "a", 1), (1, 0.0, "a", 1), (2, 0.0, "a", 1), (5, 0.4, "a", 1), (18, 0.0, "a", 1)],
+    # sidebars with running text
+    [(60, 0.0, "x", 0), (35, 0.2, "x", 0), (10, 0.0, "ah", 1), (100, 0.02, "a", 1), (75, 0.0, "a", 1), (45, 0.0, "x", 0), (5, 1.0, "x", 0)],
+    # only containers beside the main text are marked
+    [(1, 1.0, "x", 0)] * 3 + [(8, 0.0, "h", 1), (70, 0.0, "", 1), (25, 0.1, "", 1), (4, 0.0, "", 1), (50, 0.0, "", 1), (12, 0.2, "x", 0)],
+    [(5, 0.6, "x", 0), (6, 0.0, "h", 1), (28, 0.0, "", 1), (22, 0.0, "", 1), (3, 0.0, "h", 1), (40, 0.1, "", 1), (20, 0.0, "x", 0)],
+    # nothing is marked: menus, teasers and a line of copyright among links
+    [(1, 1.0, "", 0), (2, 1.0, "", 0), (2, 1.0, "", 0), (7, 0.0, "h", 1), (80, 0.0, "", 1), (40, 0.1, "", 1), (3, 0.0, "", 1), (55, 0.0, "", 1), (2, 0.0, "h", 0), (8, 1.0, "", 0), (7, 1.0, "", 0), (6, 0.0, "", 0)],
+    [(4, 0.0, "", 0), (3, 1.0, "", 0), (2, 1.0, "", 0), (50, 0.0, "", 1), (35, 0.0, "", 1), (90, 0.05, "", 1), (9, 0.8, "", 0), (5, 1.0, "", 0), (4, 0.0, "", 0)],
+    [(2, 0.5, "", 0), (6, 1.0, "", 0), (9, 0.0, "h", 1), (24, 0.0, "", 1), (30, 0.0, "", 1), (28, 0.05, "", 1), (2, 1.0, "", 0), (3, 1.0, "", 0)],
+    [(6, 1.0, "", 0), (50, 0.0, "", 1), (50, 0.0, "", 1), (3, 1.0, "", 0)],
+    # a portal: short lines between links
+    [(2, 1.0, "", 0), (5, 0.0, "", 0), (3, 1.0, "", 0), (9, 0.0, "", 0), (4, 1.0, "", 0), (2, 0.0, "h", 0), (8, 1.0, "", 0), (6, 0.0, "", 0), (30, 0.8, "", 0)],
+    [(12, 1.0, "", 0), (3, 0.0, "", 0), (12, 1.0, "", 0), (14, 0.6, "", 0), (2, 0.0, "", 0), (1, 1.0, "", 0)],
+    # a plain text page, and one of a single paragraph
+    [(5, 0.0, "h", 1), (120, 0.0, "", 1), (8, 0.0, "", 1), (60, 0.0, "", 1)],
+    [(25, 0.0, "", 1)],
+]
+
+
 def labelled_table() -> tuple[np.ndarray, np.ndarray]:
-    """Typical blocks and whether they are main text, made by rule: every sort of block with neighbours of every sort."""
+    """The features of all blocks of PAGES, with their labels."""
     rows, labels = [], []
-    sorts = [  # words, link density, in main, aside, heading, main text?
-        (60, 0.0, 1, 0, 0, 1), (25, 0.1, 1, 0, 0, 1), (4, 0.0, 1, 0, 0, 1), (1, 0.0, 1, 0, 0, 1), (12, 0.3, 1, 0, 0, 1),
-        (8, 0.0, 1, 0, 1, 1), (3, 1.0, 1, 0, 0, 1), (60, 0.0, 1, 1, 0, 0), (8, 0.5, 1, 1, 0, 0), (2, 0.0, 1, 1, 1, 0),
-        (60, 0.0, 0, 1, 0, 0), (30, 0.2, 0, 1, 0, 0), (10, 0.0, 0, 1, 0, 0), (2, 1.0, 0, 1, 0, 0), (1, 0.0, 0, 1, 1, 0),
-        (80, 0.0, 0, 0, 0, 1), (40, 0.1, 0, 0, 0, 1), (22, 0.0, 0, 0, 0, 1), (9, 0.0, 0, 0, 1, None), (6, 0.0, 0, 0, 0, None),
-        (30, 0.8, 0, 0, 0, 0), (5, 1.0, 0, 0, 0, 0), (2, 0.6, 0, 0, 0, 0), (3, 0.0, 0, 0, 0, None),
-    ]
-    near = [(0, 0.0), (40, 0.0), (3, 1.0)]  # nothing, running text, a link
-    for words, links, main, aside, heading, label in sorts:
-        for before in near:
-            for after in near:
-                text = (before[0] >= 20) + (after[0] >= 20)
-                rows.append([words, links, *before, *after, main, aside, heading])
-                # short blocks outside any article: text only between, or as a heading before, running text
-                labels.append(label if label is not None else int(text == 2 or heading and after[0] >= 20))
-    return np.array(rows, float), np.array(labels)
+    for page in PAGES:
+        rows.append(features([Block("", words, links, "a" in hints, "x" in hints, "h" in hints) for words, links, hints, _ in page]))
+        labels += [label for *_, label in page]
+    return np.concatenate(rows), np.array(labels)
 
 
 Node = tuple  # (label,) or (feature, threshold, below, above)

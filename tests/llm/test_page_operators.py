@@ -36,6 +36,34 @@ def test_tree_learns_its_table_and_works_without_articles():
     assert html_extract.main_text(page, TREE) == f"{long}\n{long}"
 
 
+def test_counts_of_words_and_links_carry_the_decision():
+    x, y = html_extract.labelled_table()
+    sizes = [len(p) for p in html_extract.PAGES]
+    pages = np.repeat(np.arange(len(sizes)), sizes)
+
+    def accuracy(columns):  # each page judged by a tree that hasn't seen it
+        right = 0
+        for page in range(len(sizes)):
+            own = pages == page
+            tree = html_extract.grow_tree(x[~own][:, columns], y[~own])
+            right += (html_extract.classify(tree, x[own][:, columns]) == y[own].astype(bool)).sum()
+        return right / len(y)
+
+    counts, hints = list(range(6)), list(range(6, 9))
+    assert accuracy(counts + hints) > max(accuracy(counts), accuracy(hints)) + 0.05
+    assert html_extract.FEATURES[TREE[0]] == "links"  # the first split
+    bare = y[(x[:, 6] == 0) & (x[:, 7] == 0)]
+    got = html_extract.classify(TREE, x[(x[:, 6] == 0) & (x[:, 7] == 0)])
+    assert 0.3 < bare.mean() < 0.7 and (got == bare.astype(bool)).all()  # blocks without hints
+
+
+def test_a_very_long_page_and_many_blocks():
+    text = "word " * 200_000
+    assert html_extract.main_text(f"<article><p>{text}</p></article>", TREE) == text.strip()
+    page = "".join(f"<p>{'some running text here ' * 6}{i}</p>" for i in range(5000))
+    assert len(html_extract.main_text(f"<body>{page}</body>", TREE).split("\n")) == 5000
+
+
 def test_pages(spark):
     rows = [(1, "u", "<article><p>é😀</p></article>", "x"), (1, "u", "<article><p>é😀</p></article>", "x"), (None, None, None, None)]
     out = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, TEXT string"))
