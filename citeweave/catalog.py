@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import study_queries, text_queries
+from .plans import rule_queries, study_queries, text_queries
 
 
 def _all() -> dict:
-    return text_queries.queries() | study_queries.queries()
+    return text_queries.queries() | study_queries.queries() | rule_queries.queries()
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

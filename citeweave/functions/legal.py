@@ -59,7 +59,7 @@ LAW_NAMES = {
 
 def _driver_skeleton(flat: str) -> str:
     """T-04 of a flat literal, for patterns that are built on the driver."""
-    return flat.replace("rn", "m").translate(str.maketrans("015ic", "olsle"))
+    return T.skeleton_of(flat)
 
 
 # --- class chains
@@ -110,11 +110,26 @@ def _read_chains(flat: pd.Series) -> pd.Series:
     return pd.Series([_READER.read(t or "") for t in flat])
 
 
-def class_chain(text: Column) -> Column:
-    """L-01: the class chain of a text, outermost first. Normalisation runs in the JVM, the scan as an Arrow function."""
+@F.pandas_udf(ArrayType(ArrayType(StringType())))
+def _read_many_chains(flat: pd.Series) -> pd.Series:
+    return pd.Series([None if ts is None else [_READER.read(t or "") for t in ts] for ts in flat])
+
+
+def _chain_text(text: Column) -> Column:
+    """What the chain reader reads: a flat text without courts' names, its hyphens apart."""
     glued = F.regexp_replace(text, r"([a-z])([A-Z]{2,})", "$1 $2")
     flat = F.regexp_replace(T.flatten_lower_first(glued), r"(?U)\b(tst|stf|stj|tse|stm)\b", " ")
-    return _read_chains(T.collapse(F.replace(flat, F.lit("-"), F.lit(" - "))))
+    return T.collapse(F.replace(flat, F.lit("-"), F.lit(" - ")))
+
+
+def class_chain(text: Column) -> Column:
+    """L-01: the class chain of a text, outermost first. Normalisation runs in the JVM, the scan as an Arrow function."""
+    return _read_chains(_chain_text(text))
+
+
+def class_chains(texts: Column) -> Column:
+    """L-01 for an array of texts; null for null."""
+    return _read_many_chains(F.transform(texts, lambda t: _chain_text(F.coalesce(t, F.lit("")))))
 
 
 def without_ordinals(chain: Column) -> Column:
@@ -140,7 +155,7 @@ _UNIFIED = r"[0-9]{1,7}\s*-\s*[0-9]{2}\s*\.\s*[0-9]{4}\s*\.\s*[0-9]\s*\.\s*[0-9]
 _LOOSE = r"[0-9]{1,7}\s*-\s*[0-9]\s*[0-9]\s*\.\s*[0-9]\s*[0-9]\s*[0-9]\s*[0-9]\s*\.\s*[0-9]\s*\.\s*[0-9]\s*[0-9]\s*\.\s*[0-9]\s*[0-9]\s*[0-9]\s*[0-9]"
 _CAP = "[A-ZÀ-Ý]"
 
-#: court: (source, characters of the header that are read, pattern, groups of class, number and second number)
+#: The headers' patterns. court: (source, characters of the header that are read, pattern, groups of class, number and second number)
 HEADERS: dict[str, list[tuple[str, int | None, str, int, int, int | None]]] = {
     "STF": [("stf", 600, rf"(?:PLEN[AÁ]RIO|PRIMEIRA TURMA|SEGUNDA TURMA)\s+([A-ZÀ-Ý.\s]+?)\s+({_CLASSIC})\s+{_CAP}", 1, 2, None)],
     "STJ": [("stj", 400, rf"(?s)^(.{{2,120}}?)\s*N[ºo°]\s*({_CLASSIC})\s*-\s*[A-Z]{{2}}", 1, 2, None)],
@@ -215,6 +230,7 @@ def article_header(text: Column) -> Column:
 
 # --- what a citation says
 
+#: OCR letters of digits, and the pattern of a cited law.
 _OCR_CLASS = "OoDQlIi|ZzASsGbTBgq"
 _LAW = (
     r"(?iuU)\bl\s*[eéêc]\s*[iíl1]\s*(?:((?=\S*\p{L}{3})\S{4,})\s+)?n?[ºo°.\s]*"
@@ -301,32 +317,40 @@ def article_of_citation(quote: Column) -> Column:
     return T.number_key(F.nullif(F.regexp_replace(F.regexp_extract(quote, p, 1), "[^0-9]", ""), F.lit("")))
 
 
+#: Articles and prepositions that no span begins with, and Brazil's states at a span's end.
+LEADING_WORDS = ["o", "a", "os", "as", "no", "na", "nos", "nas", "do", "da", "dos", "das", "ao", "à", "pelo", "pela", "em", "de"]
+STATE_AT_END = r"(?U)[/\-–—(]\s*(?:" + "|".join(T.STATES.values()) + r")\s*\)?\s*$"
+
+
 def edge_violations(quote: Column, form: Column) -> Column:
-    """L-15: which edge conventions a span breaks."""
+    """L-15: which edge conventions a span breaks: white space at an end, or else punctuation at its last; an article or
+    preposition as its first word; an article of law in capitals; a process without its state."""
+    bare = F.regexp_replace(quote, r"(?U)^\s+|\s+$", "")
+    blank = (quote == "") | (quote != bare)
+    first = F.lower(F.regexp_extract(quote, r"(?U)^\s*(\S+)", 1))
     rules = [
-        (quote.rlike(r"^(?U)\s|(?U)\s$"), "space"),
-        (quote.rlike(r"[.,;:]$"), "final_punctuation"),
-        (quote.rlike(r"^[.,;:)\-]"), "leading_punctuation"),
-        (~quote.rlike("[0-9]") & (form != "vaga"), "no_digit"),
-        (F.length(F.regexp_replace(quote, r"[^(]", "")) != F.length(F.regexp_replace(quote, r"[^)]", "")), "open_parenthesis"),
+        (blank, "space"),
+        (~blank & quote.rlike(r"[.,;:]$"), "final_punctuation"),
+        (first.isin(LEADING_WORDS), "leading_word"),
+        ((form == "artigo") & ~quote.rlike(r"^\p{Ll}"), "capital_article"),
+        ((form == "processo") & ~quote.rlike(STATE_AT_END), "no_state"),
     ]
     return F.array_compact(F.array(*[F.when(hit, F.lit(name)) for hit, name in rules]))
 
 
-#: Key words of each subject, in the order in which ties are decided.
+#: Key words of each subject, in the order in which ties are decided; without two of them it is civel.
 SUBJECTS = {
-    "trabalhista": ["empregad", "reclamante", "horas extras", "clt", "trabalh"],
-    "penal": ["denuncia", "pena", "reu", "crime", "habeas"],
-    "eleitoral": ["eleitor", "candidat", "eleicao", "partido"],
-    "tributario": ["tribut", "icms", "imposto", "fiscal"],
-    "civel": ["contrato", "indeniza", "dano moral", "consumidor"],
+    "militar": ["militar"],
+    "eleitoral": ["eleitora", "eleição", "eleições"],
+    "trabalhista": ["reclamant", "reclamad", "trabalh"],
+    "penal": ["denúncia", "acusado", "pena ", "réu"],
 }
 
 
 def subject(text: Column) -> Column:
     """L-16: the subject with the most key words, at least two; else civel."""
-    flat = T.flatten(text)
-    counts = {s: sum((F.regexp_count(flat, F.lit(w)) for w in words), F.lit(0)) for s, words in SUBJECTS.items()}
+    low = F.lower(text)
+    counts = {s: sum((F.regexp_count(low, F.lit(w)) for w in words), F.lit(0)) for s, words in SUBJECTS.items()}
     most = F.greatest(*counts.values())
     out = F.when(most < 2, "civel")
     for s, n in counts.items():
@@ -334,10 +358,59 @@ def subject(text: Column) -> Column:
     return out
 
 
-def cut_at_judge(quote: Column) -> Column:
-    """L-19: a span without what follows the state code when a judge is named after it; null without any digit."""
-    cut = F.regexp_replace(quote, r"(?us)([/\-–(]\s*[A-Z]{2}\s*\)?)\s*,?\s*Rel\..*$", "$1")
-    return F.when(cut.rlike("[0-9]"), cut)
+def kind_of_text(quote: Column) -> Column:
+    """The kind that a span's text shows: an article of law with a number; a judge and no number but years; else a
+    decision."""
+    low = F.lower(F.trim(quote))
+    no_years = F.regexp_replace(low, r"(?U)\b(?:19|20)\d{2}\b", "")
+    return F.when(low.rlike(r"(?U)\barts?\b\.?\s*\d|\bartigos?\s*\d"), "LEI").when(low.rlike(r"rel(?:\.|ator|atoria)") & ~no_years.rlike(r"(?U)\d"), "VAGA").otherwise("JURIS")
+
+
+def by_criteria(text: Column, span: Column) -> Column:
+    """L-19: a span (start, end, kind) as the criteria leave it, or null: without a digit it must name a judge; after a
+    number with a state's code what names the judge is cut; laws stay laws, other kinds follow from the text."""
+    whole = F.substring(text, span["start"] + 1, span["end"] - span["start"])
+
+    def judged(quote: Column) -> Column:
+        cites = quote.rlike(r"(?U)\d") | quote.rlike(r"(?iu)rel(?:\.|ator|atoria)")
+        before = F.regexp_extract(quote, r"(?siuU)^(.*?),?\s*rel(?:\.|ator)", 1)  # up to the first judge
+        code = F.regexp_extract(before, r"(?sU)^(.*?\d[\d.\-/]*\s*[-/]?\s*[A-Z]{2})\b", 1)
+        left = F.when(quote.rlike(r"(?iu)rel(?:\.|ator)") & (code != ""), code).otherwise(quote)
+        kind = F.when(span["kind"] == "LEI", "LEI").otherwise(kind_of_text(left))
+        found = F.struct(span["start"].cast("int").alias("start"), (span["start"] + F.char_length(left)).cast("int").alias("end"), kind.alias("kind"))
+        return F.when(cites, found)
+
+    return T.let(whole, judged)
+
+
+#: What names a law.
+NAMES_A_LAW = r"(?iu)\b(?:cpc|cpp|clt|cf|cdc|ristf|ristj|c[oó]digo|lei|constitui|regimento|estatuto)"
+
+
+def preferred_spans(text: Column, spans: Column) -> Column:
+    """L-20: which of several versions (start, end, kind) of one citation stay, or null if no convention decides. Of a
+    list with a shared class, and of a list of summaries, each number is a citation of its own; a law keeps its name; a
+    theme its qualifier; decisions are cited from the earliest start to the latest end, as the criteria leave that."""
+    quote = lambda s: F.substring(text, s["start"] + 1, s["end"] - s["start"])
+    numbers = lambda s: F.regexp_count(quote(s), F.lit(r"(?U)\d[\d.]*"))
+    width = lambda s: s["end"] - s["start"]
+    holds = lambda pattern: F.filter(spans, lambda s: quote(s).rlike(pattern))
+    single = F.filter(spans, lambda s: numbers(s) == 1)
+    first_longest = lambda some: F.slice(F.filter(some, lambda s: width(s) == F.array_max(F.transform(some, width))), 1, 1)
+    named, qualified = holds(NAMES_A_LAW), holds(r"(?iu)repercuss|\brg\b")
+    of_kind = lambda kind: F.forall(spans, lambda s: s["kind"] == kind)
+    envelope = F.struct(
+        F.array_min(F.transform(spans, lambda s: s["start"])).alias("start"), F.array_max(F.transform(spans, lambda s: s["end"])).alias("end"), F.lit("JURIS").alias("kind")
+    )
+    whole = T.let(by_criteria(text, envelope), lambda e: F.when(e.isNotNull() & quote(e).rlike(r"(?U)\d"), F.array(e)))
+    is_list = F.exists(spans, lambda s: (numbers(s) >= 2) & quote(s).rlike(r"(?iuU)\s(?:e|,)\s"))
+    return F.coalesce(
+        F.when(is_list & (F.size(single) > 0), single),
+        F.when(of_kind("LEI") & (F.size(named) > 0), first_longest(named)),
+        F.when(F.exists(spans, lambda s: quote(s).rlike(r"(?iuU)^\s*te(?:m|rn)a")) & (F.size(qualified) > 0), first_longest(qualified)),
+        F.when((F.size(holds(r"(?iu)s[úu]mulas")) > 0) & (F.size(single) > 0), single),
+        F.when(of_kind("JURIS"), whole),
+    )
 
 
 def law_parts(text: Column) -> Column:

@@ -79,7 +79,7 @@ def without_glued_vague(spans: Column, gap: int = 2) -> Column:
 
     def stays(s: Column, i: Column) -> Column:
         others = F.transform(spans, lambda o, j: (i != j) & (distance(s, o) <= gap))
-        return (s["kind"] != "vague") | ~F.exists(others, lambda x: x)
+        return ~s["kind"].isin("vague", "VAGA") | ~F.exists(others, lambda x: x)
 
     return F.when(n > 0, F.filter(spans, stays)).otherwise(spans)
 

@@ -13,7 +13,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
+from pyspark.sql.types import BooleanType, DoubleType, IntegerType, StringType, StructField, StructType
 
 #: Letters that OCR writes for digits, in the order in which inversions list them.
 OCR_LETTERS = "OoDQlIi|ZzASsGbTBgq"
@@ -64,15 +64,29 @@ def flatten_lower_first(text: Column) -> Column:
     return collapse(strip_accents(F.lower(text)))
 
 
+#: What OCR confuses in names: first a pair of letters, then single characters.
+SKELETON_PAIR, SKELETON_FROM, SKELETON_TO = ("rn", "m"), "015ic", "olsle"
+
+
+def _skeleton_of_flat(flat: Column) -> Column:
+    return F.translate(F.replace(flat, *map(F.lit, SKELETON_PAIR)), SKELETON_FROM, SKELETON_TO)
+
+
+def skeleton_of(flat: str) -> str:
+    """The same for a literal on the driver."""
+    letters = dict(zip(SKELETON_FROM, SKELETON_TO, strict=True))
+    return "".join(letters.get(c, c) for c in SKELETON_PAIR[1].join(flat.split(SKELETON_PAIR[0])))
+
+
 def skeleton(text: Column) -> Column:
     """T-04: a form in which OCR variants of a name meet; for names, never for numbers."""
-    return F.translate(F.replace(flatten(text), F.lit("rn"), F.lit("m")), "015ic", "olsle")
+    return _skeleton_of_flat(flatten(text))
 
 
 def token_skeleton(text: Column) -> Column:
     """T-05: the skeleton of each token of four or more characters of a flat text."""
-    one = lambda t: F.when(F.char_length(t) < 4, t).otherwise(F.translate(F.replace(t, F.lit("rn"), F.lit("m")), "015ic", "olsle"))
-    return F.array_join(F.transform(F.filter(F.split(text, " "), lambda t: t != ""), one), " ")
+    tokens = F.filter(F.split(text, " "), lambda t: t != "")
+    return F.array_join(F.transform(tokens, lambda t: F.when(F.char_length(t) < 4, t).otherwise(_skeleton_of_flat(t))), " ")
 
 
 def ocr_to_digits(text: Column) -> Column:
@@ -155,13 +169,22 @@ def dedup_key(text: Column) -> Column:
     return F.lower(collapse(text))
 
 
+#: The patterns of numbers that would give a document away, and their slots, in the order of replacement.
+MONTHS = "janeiro|fevereiro|março|abril|maio|junho|julho|agosto|setembro|outubro|novembro|dezembro"
+SLOTS = [
+    (r"\b[0-9]{7}-[0-9]{2}\.[0-9]{4}\.[0-9]\.[0-9]{2}\.[0-9]{4}\b", "{CNJ}"),
+    (rf"\b[0-9]{{1,2}}º? de (?:{MONTHS}) de [0-9]{{4}}\b", "{DATA}"),
+    (r"\bfls?\.\s*[0-9]+(?:/[0-9]+)?", "{FLS}"),
+    (r"\bOAB/[A-Z]{2}\s*[0-9]+", "{OAB}"),
+    (r"\b(?:19|20)[0-9]{2}\.[0-9]{5,8}\b", "{PROTOCOLO}"),
+]
+
+
 def with_slots(text: Column) -> Column:
     """T-23: numbers that would give a document away become slots."""
-    out = F.regexp_replace(text, r"[0-9]{7}-[0-9]{2}\.[0-9]{4}\.[0-9]\.[0-9]{2}\.[0-9]{4}", "{CNJ}")
-    out = F.regexp_replace(out, r"(?iu)\b[0-9]{1,2} de \p{L}+ de (?:19|20)[0-9]{2}\b", "{DATA}")
-    out = F.regexp_replace(out, r"(?iu)\bfls?\.\s*[0-9]+(?:/[0-9]+)?", "{FLS}")
-    out = F.regexp_replace(out, r"\bOAB/[A-Z]{2}\s*(?:n[ºo°.]*\s*)?[0-9.]+", "{OAB}")
-    return F.regexp_replace(out, r"(?iu)\bprotocolo\s*(?:n[ºo°.]*\s*)?[0-9./-]+", "{PROTOCOLO}")
+    for pattern, slot in SLOTS:
+        text = F.regexp_replace(text, "(?U)" + pattern, slot)
+    return text
 
 
 def sentences(text: Column) -> Column:
@@ -192,10 +215,14 @@ def is_section_header(paragraph: Column) -> Column:
 
 
 def clean_judge(name: Column) -> Column:
-    """T-27: a judge's name without titles and remarks."""
-    out = F.regexp_replace(name, r"(?iu)\s*\(?\s*(?:juiz|ju[ií]za|desembargadora?)?\s*convocad[oa].*$", "")
-    out = F.regexp_replace(out, r"(?iu)^\s*(?:(?:min(?:istr[oa])?|rel(?:atora?)?|des(?:embargadora?)?|dra?|exm[oa])\.?\s*:?\s+)+", "")
-    return collapse(F.regexp_replace(out, r"[\s,.;:-]+$", ""))
+    """T-27: a judge's name without up to two titles before it and without the remark that a judge was called in."""
+    out = F.regexp_replace(collapse_ends(name), r"(?siuU)\s+\(?(?:desembargador|ju[ií]z)a?\s+convocad.*$", "")
+    return collapse_ends(F.regexp_replace(out, r"(?iuU)^(?:\s*(?:min(?:istr[oa])?\.?|desembargadora?(?:\s+federal)?)\s+){1,2}", ""))
+
+
+def collapse_ends(text: Column) -> Column:
+    """Without white space at both ends; empty for null."""
+    return F.coalesce(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), F.lit(""))
 
 
 #: Brazil's states and their codes.
@@ -208,21 +235,23 @@ STATES = {
 }
 
 
-def state_of_header(court: Column, text: Column) -> Column:
-    """T-28: the state's code in a record's header: after the number as a full name (STF) or as a code."""
-    head = F.upper(strip_accents(F.left(text, F.lit(600))))
-    named = None
-    for name in sorted(STATES, key=len, reverse=True):
-        hit = head.rlike(rf"[0-9]\s+{name}\b")
-        named = F.when(hit, STATES[name]) if named is None else named.when(hit, STATES[name])
-    code = F.nullif(F.regexp_extract(head, r"[0-9]\s*[-/–]\s*([A-Z]{2})\b", 1), F.lit(""))
-    return F.when(court == "STF", named).otherwise(code)
+def state_of_header(court: Column, text: Column, number: Column) -> Column:
+    """T-28: the state's code in a record's header, which follows the record's own number: a code after a hyphen (STJ)
+    or a slash (STM), or the state's full name (STF). No other court writes it."""
+    head = F.left(text, F.lit(900))
+    at = F.position(number, head)
+    after = F.when(at > 0, F.substring(head, at + F.char_length(number), F.lit(60)))
+    code = lambda sign: F.nullif(F.regexp_extract(after, rf"(?U)^\s*{sign}\s*([A-Z]{{2}})\b", 1), F.lit(""))
+    plain, named = F.upper(strip_accents(after)), F.lit(None).cast("string")
+    for name in sorted(STATES, key=len):  # longer names are tested before those they begin with
+        named = F.when(plain.rlike(rf"(?U)^\s*{name}\b"), STATES[name]).otherwise(named)
+    return F.when(court == "STJ", code("-")).when(court == "STM", code("/")).when(court == "STF", named)
 
 
 def normal_id(value: Column) -> Column:
-    """T-29: an id, without leading zeros if it is a number."""
+    """T-29: an id, without leading zeros if it is a number; 0 if it is all zeros."""
     value = F.trim(value)
-    return F.when(value.rlike("^[0-9]+$"), number_key(value)).otherwise(value)
+    return F.when(value.rlike("^[0-9]+$"), F.coalesce(F.nullif(F.ltrim(value, F.lit("0")), F.lit("")), F.lit("0"))).otherwise(value)
 
 
 def same_id(predicted: Column, accepted: Column) -> Column:
@@ -270,38 +299,52 @@ def match_offsets(text: Column, pattern: str) -> Column:
 # --- functions that need a map back to offsets, or difflib: Arrow functions for small inputs
 
 
-def _mapped(text: str, ocr: bool) -> tuple[str, list[int]]:
-    """Letters and digits only, case folded and without marks, with the place each came from (T-19)."""
-    out, places = [], []
-    table = str.maketrans(OCR_LETTERS, OCR_DIGITS)
-    for i, c in enumerate(text):
-        if ocr:
-            c = c.translate(table)
-        for x in unicodedata.normalize("NFKD", c.replace("º", "o").replace("ª", "a")).casefold():
-            if x.isalnum():
-                out.append(x)
-                places.append(i)
-    return "".join(out), places
-
-
-def find_normalised(text: str, quote: str, ocr: bool = False) -> tuple[int, int] | None:
-    """T-20: where a quote stands in a text when both are normalised, as offsets of the text."""
-    (a, places), (b, _) = _mapped(text, ocr), _mapped(quote, ocr)
-    i = a.find(b) if b else -1
-    return None if i < 0 else (places[i], places[i + len(b) - 1] + 1)
-
-
-def find_similar(text: str, quote: str, least: float = 0.8) -> tuple[int, int, float] | None:
-    """T-21: the window most like the quote, among windows of 90, 100 and 110 per cent of its length."""
-    best: tuple[float, int, int] | None = None
-    matcher = difflib.SequenceMatcher(autojunk=False)
-    matcher.set_seq2(quote)
-    for width in sorted({max(1, round(len(quote) * f)) for f in (0.9, 1.0, 1.1)}):
-        for i in range(0, max(1, len(text) - width + 1)):
-            matcher.set_seq1(text[i : i + width])
-            if matcher.real_quick_ratio() > (best[0] if best else least - 1e-9) and (r := matcher.ratio()) > (best[0] if best else least - 1e-9):
-                best = (r, i, min(len(text), i + width))
-    return None if best is None else (best[1], best[2], best[0])
+_ORDINAL_SIGNS = str.maketrans("º°ª", "ooa")
+_OCR_TABLE = str.maketrans(OCR_LETTERS, OCR_DIGITS)
+
+
+def _mapped(text: str, ocr: bool = False) -> tuple[str, list[int]]:
+    """T-19: letters and digits only, without marks and in folded case, with the place that each came from; with ocr the
+    folded letters that OCR writes for digits become these."""
+    parts, places = [], []
+    for i, c in enumerate(text.translate(_ORDINAL_SIGNS)):
+        folded = "".join(x for x in unicodedata.normalize("NFKD", c) if x.isalnum()).casefold()
+        parts.append(folded.translate(_OCR_TABLE) if ocr else folded)
+        places += [i] * len(folded)
+    return "".join(parts), places
+
+
+def find_normalised(text: str, quote: str, least: int = 3) -> tuple[int, int, str] | None:
+    """T-20: where a quote stands in a text when both are normalised, as offsets of the text, and how it was found:
+    `normalised`, or, in a second pass, with OCR letters read as digits, `ocr`. Quotes shorter than `least` aren't
+    searched."""
+    for how, ocr in (("normalised", False), ("ocr", True)):
+        (whole, places), (part, _) = _mapped(text, ocr), _mapped(quote, ocr)
+        if len(part) < least:
+            return None
+        if (i := whole.find(part)) >= 0:
+            return places[i], places[i + len(part) - 1] + 1, how
+    return None
+
+
+#: The widths of windows that are compared with a quote, as shares of its length.
+WINDOW_SHARES = (1.0, 0.8, 1.25)
+
+
+def find_similar(text: str, quote: str, least: int = 3) -> tuple[int, int, float] | None:
+    """T-21: the window of the normalised text most like the normalised quote, as offsets of the text, with their
+    ratio; of equally good ones the first."""
+    (whole, places), (part, _) = _mapped(text), _mapped(quote)
+    if len(part) < least or not whole:
+        return None
+    matcher, top, found = difflib.SequenceMatcher(autojunk=False), 0.0, None
+    matcher.set_seq2(part)
+    for width in dict.fromkeys(max(least, min(int(len(part) * share), len(whole))) for share in WINDOW_SHARES):
+        for at in range(len(whole) - width + 1):
+            matcher.set_seq1(whole[at : at + width])
+            if matcher.real_quick_ratio() > top and matcher.quick_ratio() > top and (ratio := matcher.ratio()) > top:
+                top, found = ratio, (at, at + width - 1)
+    return found and (places[found[0]], places[found[1]] + 1, round(top, 3))
 
 
 def is_similar(a: str, b: str, least: float = 0.9) -> bool:
@@ -349,12 +392,21 @@ def align_markup(marked: str, original: str) -> list[tuple[int, int, str]] | Non
     return spans if opened is None and "".join(out) == original else None
 
 
+_OFFSETS = [StructField("start", IntegerType()), StructField("end", IntegerType())]
+
+
 @F.pandas_udf(BooleanType())
 def similar(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([x is not None and y is not None and is_similar(x, y) for x, y in zip(a, b, strict=True)])
 
 
-@F.pandas_udf(StructType([StructField("start", IntegerType()), StructField("end", IntegerType())]))
+@F.pandas_udf(StructType([*_OFFSETS, StructField("how", StringType())]))
 def normalised_offsets(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
-    found = [find_normalised(t or "", q or "") or (None, None) for t, q in zip(text, quote, strict=True)]
-    return pd.DataFrame(found, columns=["start", "end"]).astype("Int32")
+    found = [find_normalised(t or "", q or "") or (None, None, None) for t, q in zip(text, quote, strict=True)]
+    return pd.DataFrame(found, columns=["start", "end", "how"]).astype({"start": "Int32", "end": "Int32"})
+
+
+@F.pandas_udf(StructType([*_OFFSETS, StructField("ratio", DoubleType())]))
+def similar_offsets(text: pd.Series, quote: pd.Series) -> pd.DataFrame:
+    found = [find_similar(t or "", q or "") or (None, None, None) for t, q in zip(text, quote, strict=True)]
+    return pd.DataFrame(found, columns=["start", "end", "ratio"]).astype({"start": "Int32", "end": "Int32", "ratio": float})

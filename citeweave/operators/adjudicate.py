@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import legal as L
 from ..functions import spans as S
+from ..functions import text as T
 
 SPAN = "struct<start:int,end:int,kind:string>"
 
 
-def by_criteria(spans: DataFrame) -> DataFrame:
-    """L-19 on rows (doc_id, start, end, kind, quote): without a digit a span goes, unless it is vague; what follows the
-    state's code before a judge is cut; the kind follows from the text."""
-    cut = F.when(F.col("kind") == "VAGA", F.col("quote")).otherwise(L.cut_at_judge(F.col("quote")))
-    rows = spans.withColumn("quote", cut).filter("quote is not null")
-    form = L.form_of(F.col("quote"))
-    kind = F.when(F.col("kind") == "VAGA", "VAGA").when(form == "artigo", "LEI").otherwise("JURIS")
-    return rows.withColumn("kind", kind).withColumn("end", (F.col("start") + F.char_length("quote")).cast("int"))
-
-
 def agreement(first: Column, second: Column, least: float = 0.8) -> Column:
     """P-11: (agreed envelopes, divergent spans) of two annotators' arrays of spans."""
     both = S.agreed(first, second, least)
@@ -29,52 +19,49 @@ def agreement(first: Column, second: Column, least: float = 0.8) -> Column:
     return F.struct(both.alias("agreed"), rest.alias("divergent"))
 
 
-def preferred(a: tuple, b: tuple, text: str) -> tuple | None:
-    """L-20: of two borders of one citation the better: the one that cuts no word, then the one with more digits, then
-    the longer one; null if nothing tells them apart."""
+def adjudicated(text: Column, agreed: Column, divergent: Column, third: Column) -> Column:
+    """P-12: arrays of spans (start, end, kind) that two annotators agree on, that they don't, and of a third one (null:
+    no vote) as one array (start, end, kind, how). Agreed spans stay. A divergent one goes if the criteria drop it or
+    leave what is agreed already; alone it stays as the criteria leave it; among versions that cross it the conventions
+    choose, else the one version that the third confirms; where the third marks nothing there, it goes; else it stays
+    ambiguous. Each span comes once, with the first reason."""
+    none = F.array().cast(f"array<{SPAN}>")
+    as_how = lambda spans, how: F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"), F.lit(how).alias("how")))
+
+    def same(a: Column, b: Column) -> Column:
+        return (a["start"] == b["start"]) & (a["end"] == b["end"]) & (a["kind"] == b["kind"])
+
+    def decided(s: Column) -> Column:
+        rivals = F.filter(divergent, lambda o: ~same(o, s) & S.crosses(o, s))
+
+        def choose(r: Column) -> Column:
+            known = r.isNull() | F.exists(agreed, lambda a: S.iou(r, a) >= 0.5)
+
+            def among(versions: Column) -> Column:
+                confirmed = F.filter(versions, lambda c: F.exists(third, lambda v: (S.iou(c, v) >= 0.8) & (c["kind"] == v["kind"])))
+                untouched = ~F.exists(versions, lambda c: F.exists(third, lambda v: S.crosses(c, v)))
+
+                def by_third(own: Column) -> Column:
+                    return F.when(F.size(own) == 1, as_how(own, "third")).when((F.size(own) == 0) & untouched, as_how(none, "third"))
+
+                vote = F.when(third.isNotNull(), T.let(confirmed, by_third))
+                return F.coalesce(as_how(L.preferred_spans(text, versions), "preferred"), vote, as_how(F.array(s), "ambiguous"))
+
+            alone = as_how(F.array(r), "criteria")
+            return F.when(known, as_how(none, "criteria")).when(F.size(rivals) == 0, alone).otherwise(T.let(F.concat(F.array(s), rivals), among))
 
-    def whole(s: tuple) -> bool:
-        left = s[0] == 0 or not (text[s[0] - 1].isalnum() and text[s[0]].isalnum())
-        return left and (s[1] >= len(text) or not (text[s[1] - 1].isalnum() and text[s[1]].isalnum()))
+        return T.let(L.by_criteria(text, s), choose)
 
-    for rank in (whole, lambda s: sum(c.isdigit() for c in text[s[0] : s[1]]), lambda s: s[1] - s[0]):
-        x, y = rank(a), rank(b)
-        if x != y:
-            return a if x > y else b
-    return None
+    every = F.concat(as_how(agreed, "agreed"), F.flatten(F.transform(divergent, decided)))
+    kept = F.array().cast("array<struct<start:int,end:int,kind:string,how:string>>")
+    once = F.aggregate(every, kept, lambda acc, s: F.when(F.exists(acc, lambda k: same(k, s)), acc).otherwise(F.concat(acc, F.array(s))))
+    return F.array_sort(once)
 
 
 def adjudicate(rows: DataFrame) -> DataFrame:
-    """P-12: (doc_id, start, end, kind, how) of documents (doc_id, text, agreed, divergent, third): agreed spans stay;
-    divergent ones that cross an agreed one go; the others are grouped by crossing, and of each group the preferred one
-    stays, or the one that a third vote crosses; else it stays ambiguous. One document at a time, no shuffle."""
-
-    def run(batches):
-        for batch in batches:
-            out = []
-            for r in batch.itertuples():
-                get = lambda v: [(s["start"], s["end"], s["kind"]) for s in (v if v is not None else [])]
-                agreed, open_, third = get(r.agreed), sorted(get(r.divergent)), get(r.third)
-                out += [(r.doc_id, *s, "agreed") for s in agreed]
-                groups: list[list[tuple]] = []
-                for s in open_:
-                    if any(s[0] < b and a < s[1] for a, b, _ in agreed):
-                        continue
-                    if groups and s[0] < max(x[1] for x in groups[-1]):
-                        groups[-1].append(s)
-                    else:
-                        groups.append([s])
-                for g in groups:
-                    best, how = g[0], "single" if len(g) == 1 else "preferred"
-                    for s in g[1:]:
-                        best = preferred(best, s, r.text) if best else None
-                    if best is None:
-                        voted = [s for s in g if any(s[0] < b and a < s[1] and s[2] == k for a, b, k in third)]
-                        best, how = (voted[0], "third") if voted else (g[0], "ambiguous")
-                    out.append((r.doc_id, *best, how))
-            yield pd.DataFrame(out, columns=["doc_id", "start", "end", "kind", "how"])
-
-    return rows.mapInPandas(run, "doc_id long, start int, end int, kind string, how string")
+    """P-12 over documents (doc_id, text, agreed, divergent, third): one row per span that stays. No shuffle."""
+    spans = adjudicated(F.col("text"), *[F.col(c).cast(f"array<{SPAN}>") for c in ("agreed", "divergent", "third")])
+    return rows.select("doc_id", F.explode(spans).alias("s")).select("doc_id", "s.*")
 
 
 def candidate_scores(candidates: DataFrame, spans: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions import text as T
+
 VERDICTS = ["real", "inventada", "incompleta"]
 
 
@@ -62,12 +64,37 @@ def error_buckets(outcomes: DataFrame) -> DataFrame:
     return outcomes.withColumn("error", kind).filter("error is not null").groupBy("level", "error").agg(F.count(F.lit(1)).alias("n"))
 
 
+def with_sums_before(rows: DataFrame, by: str, sums: list[str], descending: bool = False, buckets: int = 256) -> DataFrame:
+    """rows, one per value of `by`, with the sums of columns over all rows before each (`<column>_before`), in two levels:
+    rows are cut into ranges of `by` at approximate quantiles; ranges are summed up, a few hundred rows; and within a
+    range each task runs over its own rows. No task sees all rows."""
+    shares = [i / buckets for i in range(1, buckets)]
+    cuts = rows.agg(F.percentile_approx(by, F.array(*map(F.lit, shares)), F.lit(10_000)).alias("c")).first()["c"] or []  # at most `buckets` numbers
+    cuts = sorted(set(cuts))
+    below = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c < F.col(by))) if cuts else F.lit(0)
+    dealt = rows.withColumn("range_", -below if descending else below)
+    order = F.desc(by) if descending else F.asc(by)
+    totals = dealt.groupBy("range_").agg(*[F.sum(c).alias(f"{c}_range") for c in sums])
+    earlier = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("range_", *[F.coalesce(F.sum(f"{c}_range").over(earlier), F.lit(0)).alias(f"{c}_range") for c in sums])
+    own = Window.partitionBy("range_").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    out = dealt.join(F.broadcast(totals), "range_")  # at most `buckets` rows
+    out = out.withColumns({f"{c}_before": F.coalesce(F.sum(c).over(own), F.lit(0)) + F.col(f"{c}_range") for c in sums})
+    return out.drop("range_", *[f"{c}_range" for c in sums])
+
+
+def harmonic(n: Column) -> Column:
+    """1 + 1/2 + ... + 1/n: added up for small n, else by its expansion, which is exact to a double's last digits."""
+    n = n.cast("double")
+    small = F.aggregate(F.sequence(F.lit(1), F.least(n, F.lit(64.0)).cast("int")), F.lit(0.0), lambda a, k: a + 1 / k)
+    series = F.log(n) + F.lit(0.5772156649015329) + 1 / (2 * n) - 1 / (12 * n * n) + 1 / (120 * n * n * n * n)
+    return F.when(n < 1, 0.0).when(n <= 64, small).otherwise(series)
+
+
 def auroc(scores: DataFrame, score: str = "score", label: str = "label") -> DataFrame:
-    """M-19: the Mann-Whitney statistic from mid-ranks. Scores are counted per value first, so the running sum goes
-    over distinct values."""
+    """M-19: the Mann-Whitney statistic from mid-ranks over distinct scores."""
     rows = scores.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(label).cast("long")).alias("p"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = rows.withColumn("mid", below + (F.col("n") + 1) / 2)
+    rows = with_sums_before(rows, score, ["n"]).withColumn("mid", F.col("n_before") + (F.col("n") + 1) / 2)
     s = rows.agg(F.sum(F.col("p") * F.col("mid")).alias("r"), F.sum("p").alias("p"), F.sum(F.col("n") - F.col("p")).alias("q"))
     return s.select(F.when((F.col("p") > 0) & (F.col("q") > 0), (F.col("r") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * F.col("q"))).alias("auroc"))
 
@@ -75,21 +102,22 @@ def auroc(scores: DataFrame, score: str = "score", label: str = "label") -> Data
 def risk_coverage(scores: DataFrame, score: str = "score", error: str = "error") -> DataFrame:
     """M-20: one point per distinct confidence, the highest first: coverage and risk of all that is no less sure."""
     rows = scores.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(error).cast("long")).alias("e"))
-    run = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("seen", F.sum("n").over(run)).withColumn("wrong", F.sum("e").over(run))
-    total = Window.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    return rows.select(score, (F.col("seen") / F.sum("n").over(total)).alias("coverage"), (F.col("wrong") / F.col("seen")).alias("risk"))
+    total = rows.agg(F.sum("n").alias("total"))
+    rows = with_sums_before(rows, score, ["n", "e"], descending=True).crossJoin(F.broadcast(total))  # one row
+    seen, wrong = F.col("n_before") + F.col("n"), F.col("e_before") + F.col("e")
+    return rows.select(score, (seen / F.col("total")).alias("coverage"), (wrong / seen).alias("risk"))
 
 
 def aurc(scores: DataFrame, score: str = "score", error: str = "error") -> DataFrame:
-    """M-21: the mean risk over all coverages, within ties the expected one; that of an oracle; the excess."""
+    """M-21: the mean risk over all coverages, within ties the expected one; that of an oracle; the excess. Sums of
+    (a + b k) / (c + k) over the rows of a tie, and those of the oracle, are differences of harmonic numbers."""
     rows = scores.groupBy(score).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col(error).cast("long")).alias("e"))
-    before = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("n0", F.coalesce(F.sum("n").over(before), F.lit(0))).withColumn("e0", F.coalesce(F.sum("e").over(before), F.lit(0)))
-    part = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0.0), lambda a, k: a + (F.col("e0") + k * F.col("e") / F.col("n")) / (F.col("n0") + k))
+    rows = with_sums_before(rows, score, ["n", "e"], descending=True)
+    n, e, n0, e0 = (F.col(c) for c in ("n", "e", "n_before", "e_before"))
+    part = e + (e0 - e * n0 / n) * (harmonic(n0 + n) - harmonic(n0))
     s = rows.agg(F.sum(part).alias("risk"), F.sum("n").alias("n"), F.sum("e").alias("e"))
-    best = F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(F.col("e"), F.lit(1).cast("long"))), F.lit(0.0), lambda a, k: a + F.when(k <= F.col("e"), k / (F.col("n") - F.col("e") + k)).otherwise(0.0))
-    return s.select((F.col("risk") / F.col("n")).alias("aurc"), (best / F.col("n")).alias("oracle"), ((F.col("risk") - best) / F.col("n")).alias("excess"))
+    best = e - (n - e) * (harmonic(n) - harmonic(n - e))
+    return s.select((F.col("risk") / n).alias("aurc"), (best / n).alias("oracle"), ((F.col("risk") - best) / n).alias("excess"))
 
 
 #: The edges of the confidence bands.
@@ -122,30 +150,53 @@ def timing(rows: DataFrame, seconds: str, by: list[str]) -> DataFrame:
     return s.select(*by, "mean", at(F.floor(n / 2)).alias("median"), at((F.lit(0.95) * n).cast("int") - 1).alias("p95"), F.array_max("v").alias("max"))
 
 
-def resample_weights(docs: DataFrame, resamples: int, seed: str, doc: str = "doc_id") -> DataFrame:
-    """(resample, doc, weight): bootstrap weights by document. Each document's weight is a Poisson(1) draw, hashed from
-    seed, resample and document: the bootstrap that needs no document count and no driver."""
-    rows = docs.select(doc).distinct().withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
-    text = F.concat_ws("-", F.lit(seed), F.col("resample").cast("string"), F.col(doc).cast("string"))
-    u = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long") / F.lit(2.0**32)
-    total, p, weight = 0.0, 1 / 2.718281828459045, F.lit(0)
-    for k in range(8):
-        total += p
-        weight = weight + (u >= total).cast("int")
-        p /= k + 1
-    return rows.select("resample", doc, weight.alias("weight")).filter("weight > 0")
+#: A prime below 2^31: products of two numbers below it fit into a long, in every engine.
+_PRIME = 2147483647
+
+
+def resample_weight(doc: Column, resample: Column, seed: int) -> Column:
+    """A document's weight in a resample: a Poisson(1) draw by inversion at a number hashed from seed, resample and
+    document by squaring in a prime field. The bootstrap of documents needs no count of them, no driver and no join."""
+    mixed = (F.pmod(doc, F.lit(_PRIME)) * 48271 + resample * 69621 + seed) % _PRIME
+    for _ in range(2):
+        mixed = T.let(mixed, lambda x: (x * x % _PRIME * 48271 + resample + 11) % _PRIME)
+
+    def inverse(x: Column) -> Column:
+        total, p, weight = 0.0, 0.36787944117144233, F.lit(0)
+        for k in range(8):
+            total += p
+            weight = weight + (x >= F.lit(int(total * _PRIME))).cast("int")
+            p /= k + 1
+        return weight
+
+    return T.let(mixed, inverse)
+
+
+def _number_of(doc: str, frame: DataFrame) -> Column:
+    """A document's name as a long: itself, if it is a whole number."""
+    kind = frame.schema[doc].dataType.simpleString()
+    return F.col(doc).cast("long") if kind in ("tinyint", "smallint", "int", "bigint") else F.xxhash64(doc)
+
+
+def resampled(rows: DataFrame, resamples: int, seed: int = 0, doc: str = "doc_id") -> DataFrame:
+    """rows, once for each resample in which their document has a weight, with (resample, weight)."""
+    each = rows.withColumn("resample", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))))
+    return each.withColumn("weight", resample_weight(_number_of(doc, rows), F.col("resample"), seed)).filter("weight > 0")
 
 
-def bootstrap_f1_difference(counts: DataFrame, resamples: int = 200, seed: str = "boot", doc: str = "doc_id") -> DataFrame:
-    """M-13, M-14: the interval of the difference of two extractors' F1, paired by document, from the sorted resamples,
-    and how often it isn't positive. counts: (doc, tp_a, fp_a, fn_a, tp_b, fp_b, fn_b)."""
+def bootstrap_f1_difference(counts: DataFrame, resamples: int = 2000, seed: int = 0, doc: str = "doc_id") -> DataFrame:
+    """M-13, M-14: the difference of two extractors' F1, its interval from the sorted resamples of documents (of 2,000,
+    those at 50 and 1949), and how often the first is better. counts: (doc, tp_a, fp_a, fn_a, tp_b, fp_b, fn_b)."""
     cols = [f"{c}_{x}" for x in "ab" for c in ("tp", "fp", "fn")]
-    rows = counts.join(resample_weights(counts, resamples, seed, doc), doc)
-    sums = rows.groupBy("resample").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in cols])
-    diff = f1(F.col("tp_a"), F.col("fp_a"), F.col("fn_a")) - f1(F.col("tp_b"), F.col("fp_b"), F.col("fn_b"))
-    all_ = sums.select(diff.alias("d")).agg(F.sort_array(F.collect_list("d")).alias("v"))  # one value per resample
-    at = lambda share: F.get("v", (F.size("v") * share).cast("int"))
-    return all_.select(at(0.025).alias("low"), at(0.975).alias("high"), (F.size(F.filter("v", lambda x: x <= 0)) / F.size("v")).alias("not_better"))
+    difference = f1(F.col("tp_a"), F.col("fp_a"), F.col("fn_a")) - f1(F.col("tp_b"), F.col("fp_b"), F.col("fn_b"))
+    per_doc = counts.groupBy(doc).agg(*[F.sum(c).alias(c) for c in cols])
+    sums = resampled(per_doc, resamples, seed, doc).groupBy("resample").agg(*[F.sum(F.col("weight") * F.col(c)).alias(c) for c in cols])
+    all_ = sums.select(difference.alias("d")).agg(F.sort_array(F.collect_list("d")).alias("v"))  # one value per resample
+    low = resamples // 40
+    at = lambda i: F.get("v", F.least(F.lit(i), F.size("v") - 1))
+    whole = counts.agg(*[F.sum(c).alias(c) for c in cols]).select(difference.alias("difference"))
+    better = F.size(F.filter("v", lambda x: x > 0)) / F.size("v")
+    return whole.crossJoin(F.broadcast(all_.select(at(low).alias("low"), at(resamples - 1 - low).alias("high"), better.alias("p_better"))))  # one row each
 
 
 def threshold_sweep(spans: DataFrame, gold_n: DataFrame, grid: list[float], near: float = 0.95) -> DataFrame:

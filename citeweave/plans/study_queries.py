@@ -398,21 +398,69 @@ def _per_document(spark, d):
 
 
 def bootstrap(spark, d):
-    return M.bootstrap_f1_difference(_per_document(spark, d), 100).select(*[F.round(c, 9).alias(c) for c in ("low", "high", "not_better")])
+    rows = M.bootstrap_f1_difference(_per_document(spark, d))
+    return rows.select(*[F.round(c, 9).alias(c) for c in ("difference", "low", "high", "p_better")])
 
 
 def bootstrap_weights(spark, d):
-    docs = table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id"))
-    rows = M.resample_weights(docs, 20, "boot")
+    rows = M.resampled(table(spark, d, "orders").select(F.col("o_orderkey").alias("doc_id")).distinct(), 20)
     return rows.groupBy("resample").agg(F.sum("weight").cast("long").alias("drawn"), F.count(F.lit(1)).alias("docs"))
 
 
 _CDF = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183, 0.999916758850712, 0.9999897508033253]
-WEIGHTS_SQL = f"""
-WITH r AS (SELECT resample, ('0x' || substr(md5('boot-' || resample::VARCHAR || '-' || o_orderkey::VARCHAR), 1, 8))::BIGINT / 4294967296.0 AS u
-  FROM (SELECT DISTINCT o_orderkey FROM orders), (SELECT unnest(range(0, 20)) AS resample)),
-w AS (SELECT resample::INT AS resample, len(list_filter({_CDF}, lambda p: u >= p)) AS weight FROM r)
-SELECT resample, sum(weight)::BIGINT AS drawn, count(*)::BIGINT AS docs FROM w WHERE weight > 0 GROUP BY resample"""
+
+
+def _weights_sql(docs: str, resamples: int) -> str:
+    """Tables of the weights `w` (doc_id, resample, weight) of the documents of a query."""
+    p = M._PRIME
+    return f"""
+x0 AS (SELECT doc_id, resample, (doc_id % {p} * 48271 + resample * 69621) % {p} AS x FROM ({docs}), (SELECT unnest(range(0, {resamples})) AS resample)),
+x1 AS (SELECT doc_id, resample, (x * x % {p} * 48271 + resample + 11) % {p} AS x FROM x0),
+x2 AS (SELECT doc_id, resample, (x * x % {p} * 48271 + resample + 11) % {p} AS x FROM x1),
+w AS (SELECT doc_id, resample, len(list_filter({[int(c * p) for c in _CDF]}, lambda c: x >= c)) AS weight FROM x2)"""
+
+
+WEIGHTS_SQL = "WITH " + _weights_sql("SELECT DISTINCT o_orderkey AS doc_id FROM orders", 20) + """
+SELECT resample::INT AS resample, sum(weight)::BIGINT AS drawn, count(*)::BIGINT AS docs FROM w WHERE weight > 0 GROUP BY resample"""
+
+
+def _matched_sql() -> str:
+    """Tables of both extractors' counts `counts` (doc_id, tp_a, fp_a, fn_a, tp_b, fp_b, fn_b) of first-fit pairs."""
+    parts = []
+    for x, name in (("a", "pred"), ("b", "rival")):
+        parts.append(f"""
+p_{x} AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", kind, conf) - 1 AS pi FROM {name}),
+c_{x} AS (SELECT g.doc_id, gi, pi, row_number() OVER (PARTITION BY g.doc_id ORDER BY gi, pi) AS k FROM g JOIN p_{x} p ON g.doc_id = p.doc_id AND g.kind = p.kind AND g.start < p."end" AND p.start < g."end"
+  WHERE (least(g."end", p."end") - greatest(g.start, p.start))::DOUBLE / (greatest(g."end", p."end") - least(g.start, p.start)) >= 0.5),
+walk_{x} AS (
+  SELECT doc_id, 0::BIGINT AS k, []::BIGINT[] AS gs, []::BIGINT[] AS ps, NULL::BIGINT AS gi FROM (SELECT DISTINCT doc_id FROM c_{x})
+  UNION ALL
+  SELECT w.doc_id, c.k, CASE WHEN free THEN list_append(gs, c.gi) ELSE gs END, CASE WHEN free THEN list_append(ps, c.pi) ELSE ps END, CASE WHEN free THEN c.gi END
+  FROM walk_{x} w JOIN c_{x} c ON c.doc_id = w.doc_id AND c.k = w.k + 1, LATERAL (SELECT NOT list_contains(gs, c.gi) AND NOT list_contains(ps, c.pi) AS free)),
+t_{x} AS (SELECT doc_id, count(gi) AS tp FROM walk_{x} GROUP BY doc_id),
+n_{x} AS (SELECT doc_id, count(*) AS p FROM p_{x} GROUP BY doc_id)""")
+    return with_sql(*_PRED, """
+g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start, "end", kind) - 1 AS gi FROM gold)""").replace("WITH", "WITH RECURSIVE", 1) + "," + ",".join(parts) + """,
+counts AS (SELECT q.doc_id, coalesce(ta.tp, 0) AS tp_a, coalesce(na.p, 0) - coalesce(ta.tp, 0) AS fp_a, q.n - coalesce(ta.tp, 0) AS fn_a,
+    coalesce(tb.tp, 0) AS tp_b, coalesce(nb.p, 0) - coalesce(tb.tp, 0) AS fp_b, q.n - coalesce(tb.tp, 0) AS fn_b
+  FROM (SELECT doc_id, count(*) AS n FROM gold GROUP BY doc_id) q LEFT JOIN t_a ta ON ta.doc_id = q.doc_id LEFT JOIN n_a na ON na.doc_id = q.doc_id
+    LEFT JOIN t_b tb ON tb.doc_id = q.doc_id LEFT JOIN n_b nb ON nb.doc_id = q.doc_id)"""
+
+
+def _f1_sql(x: str, weight: str = "1") -> str:
+    return f"2.0 * sum({weight} * tp_{x}) / greatest(1, 2 * sum({weight} * tp_{x}) + sum({weight} * fp_{x}) + sum({weight} * fn_{x}))"
+
+
+BOOTSTRAP_SQL = _matched_sql() + "," + _weights_sql("SELECT doc_id FROM counts", 2000) + f""",
+d AS (SELECT resample, {_f1_sql("a", "weight")} - {_f1_sql("b", "weight")} AS d FROM counts c JOIN w ON w.doc_id = c.doc_id WHERE weight > 0 GROUP BY resample),
+v AS (SELECT list_sort(list(d)) AS v FROM d)
+SELECT round((SELECT {_f1_sql("a")} - {_f1_sql("b")} FROM counts), 9) AS difference, round(v[51], 9) AS low, round(v[1950], 9) AS high,
+  round(len(list_filter(v, lambda x: x > 0)) / len(v)::DOUBLE, 9) AS p_better FROM v"""
+WEIGHTED_SQL = _matched_sql() + """,
+s AS (SELECT doc_id % 4 AS stratum, count(*) AS sampled, sum(tp_a) AS tp, sum(fp_a) AS fp, sum(fn_a) AS fn FROM counts WHERE doc_id % 4 < 3 OR tp_a > 0 GROUP BY 1),
+p AS (SELECT o_orderkey % 4 AS stratum, count(*) AS size FROM orders GROUP BY 1),
+w AS (SELECT tp, fp, fn, size::DOUBLE / sampled AS w FROM s JOIN p USING (stratum))
+SELECT round(2 * sum(w * tp) / greatest(1, 2 * sum(w * tp) + sum(w * fp) + sum(w * fn)), 9) AS f1 FROM w"""
 
 
 def threshold_sweep(spark, d):
@@ -609,9 +657,9 @@ def queries():
         "token_windows": (token_windows, WINDOWS_SQL), "official_score": (official_score, _official_sql()), "error_buckets": (error_buckets, ERRORS_SQL),
         "calibration": (calibration, CALIBRATION_SQL), "extraction_scores": (extraction_scores, _extraction_sql()), "auroc": (auroc, AUROC_SQL),
         "risk_coverage": (risk_coverage, RISK_SQL), "aurc": (aurc, AURC_SQL), "confidence_bands": (band_table, BAND_SQL), "reliability": (reliability, RELIABILITY_SQL),
-        "timing": (timing, TIMING_SQL), "bootstrap_f1": (bootstrap, None), "bootstrap_weights": (bootstrap_weights, WEIGHTS_SQL),
+        "timing": (timing, TIMING_SQL), "bootstrap_f1": (bootstrap, BOOTSTRAP_SQL), "bootstrap_weights": (bootstrap_weights, WEIGHTS_SQL),
         "threshold_sweep": (threshold_sweep, SWEEP_SQL), "dispersion": (dispersion, DISPERSION_SQL), "unseen_mass": (unseen_mass, UNSEEN_SQL),
-        "common_patterns": (common_patterns, COMMON_SQL), "distribution": (distribution, DISTRIBUTION_SQL), "weighted_scores": (weighted_scores, None),
+        "common_patterns": (common_patterns, COMMON_SQL), "distribution": (distribution, DISTRIBUTION_SQL), "weighted_scores": (weighted_scores, WEIGHTED_SQL),
         "sample_per_group": (sample_per_group, SAMPLE_SQL), "folds": (folds, FOLDS_SQL), "weighted_choice": (weighted_choices, CHOICES_SQL),
         "events_tumbling": (_windowed("tumbling"), TUMBLING_SQL), "events_sliding": (_windowed("sliding"), SLIDING_SQL), "events_session": (_windowed("session"), SESSION_SQL),
         "noisy_keys": (noisy_keys, NOISY_SQL), "verifier_scores": (verifier_scores, VERIFIER_SQL), "precision_study": (precision_study, PRECISION_SQL),

@@ -70,14 +70,6 @@ def trimmed_spans(spark, d):
 TRIMMED_SQL = with_sql(CITATIONS_SQL, GOLD_SQL) + """SELECT doc_id, seq, start, "end", quote FROM gold"""
 
 
-def slots(spark, d):
-    text = F.concat(F.lit("fls. "), F.col("seq").cast("string"), F.lit("/9, OAB/SP 12.345, em 3 de maio de 2020: "), F.col("quote"))
-    return fx.citations(spark, d).select("doc_id", "seq", T.with_slots(text).alias("text"))
-
-
-SLOTS_SQL = with_sql(CITATIONS_SQL) + "SELECT doc_id, seq, '{FLS}, {OAB}, em {DATA}: ' || quote AS text FROM citations"
-
-
 def sentences(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.posexplode(T.sentences(F.coalesce("text", F.lit("")))))
     return rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("sentences"), F.sum(F.char_length("col")).alias("chars"))
@@ -124,14 +116,6 @@ SELECT g.doc_id, g.seq, substr(text, greatest(start - 20, 0) + 1, start - greate
 FROM gold g JOIN docs d ON g.doc_id = d.doc_id"""
 
 
-def id_matches(spark, d):
-    rows = fx.citations(spark, d).select("doc_id", "seq", F.concat(F.lit("00"), F.col("doc_id").cast("string")).alias("a"), F.concat((F.col("doc_id") + F.col("seq") - 1).cast("string"), F.lit(" : d7")).alias("b"))
-    return rows.select("doc_id", "seq", T.same_id(F.col("a"), F.col("b")).alias("same"))
-
-
-IDS_SQL = with_sql(CITATIONS_SQL) + "SELECT doc_id, seq, seq = 1 AS same FROM citations"
-
-
 def forms(spark, d):
     q = F.col("quote")
     rows = fx.citations(spark, d).select("doc_id", "seq", "kind", L.form_of(q).alias("form"), L.form_of_label(F.lit("JURIS"), q).alias("as_juris"))
@@ -206,15 +190,6 @@ SELECT id, CASE WHEN nature = 'sumula' THEN ((ord // 50) % 400 + 1)::VARCHAR END
   CASE WHEN nature = 'dispositivo' THEN ['13105', 'CF', 'LC64'][(ord % 3)::INT + 1] END AS law FROM records WHERE nature <> 'acordao'"""
 
 
-def edge_checks(spark, d):
-    bad = F.concat(F.lit(" "), "quote", F.lit("."))
-    rows = fx.citations(spark, d).withColumn("form", L.form_of(F.col("quote")))
-    return rows.select("doc_id", "seq", F.array_join(L.edge_violations(F.col("quote"), F.col("form")), ",").alias("good"), F.array_join(L.edge_violations(bad, F.col("form")), ",").alias("bad"))
-
-
-EDGES_SQL = with_sql(CITATIONS_SQL) + "SELECT doc_id, seq, '' AS good, 'space,final_punctuation' AS bad FROM citations"
-
-
 def rule_spans(spark, d):
     return X.extract_by_rules(fx.citation_documents(spark, d))
 
@@ -245,11 +220,11 @@ SELECT min(doc_id) AS doc_id FROM documents GROUP BY lower(trim(regexp_replace(c
 def queries():
     return {
         "text_normalisation": (normalised_quotes, NORMALISED_SQL), "numeric_core": (numeric_cores, NUMERIC_SQL),
-        "numeric_pieces": (numeric_pieces, PIECES_SQL), "span_trim": (trimmed_spans, TRIMMED_SQL), "slot_substitution": (slots, SLOTS_SQL),
+        "numeric_pieces": (numeric_pieces, PIECES_SQL), "span_trim": (trimmed_spans, TRIMMED_SQL),
         "sentence_split": (sentences, SENTENCES_SQL), "line_wrap": (wrapped, WRAPPED_SQL), "match_offsets": (number_offsets, OFFSETS_SQL),
-        "marked_context": (marked_contexts, CONTEXT_SQL), "id_membership": (id_matches, IDS_SQL), "citation_form": (forms, FORMS_SQL),
+        "marked_context": (marked_contexts, CONTEXT_SQL), "citation_form": (forms, FORMS_SQL),
         "cited_law": (cited_laws, LAWS_SQL), "cited_summary": (cited_summaries, SUMMARIES_SQL), "implied_court": (implied_courts, COURTS_SQL),
         "class_chain": (class_chains, CHAINS_SQL), "own_number": (own_numbers, OWN_SQL), "record_headers": (record_headers, HEADERS_SQL),
-        "edge_conventions": (edge_checks, EDGES_SQL), "rule_extractor": (rule_spans, None), "bio_round_trip": (bio_round_trip, BIO_SQL),
+        "rule_extractor": (rule_spans, None), "bio_round_trip": (bio_round_trip, BIO_SQL),
         "dedup_first": (dedup_documents, DEDUP_SQL),
     }

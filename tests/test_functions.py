@@ -163,20 +163,45 @@ BODIES = [
 ]
 
 
-@pytest.mark.parametrize(("body", "want"), BODIES)
-def test_rules(body, want):
-    text = HEAD + body
-    spans = X.RuleExtractor().extract(text)
-    assert [(q, f) for _, _, q, _, f, _ in spans] == want and all(text[a:b] == q for a, b, q, *_ in spans)
+def test_rules(spark):
+    docs = spark.createDataFrame([(i, HEAD + body) for i, (body, _) in enumerate(BODIES)] + [(99, None), (98, "")], "doc_id long, text string")
+    got = {}
+    for r in X.extract_by_rules(docs).orderBy("doc_id", "start").collect():
+        got.setdefault(r.doc_id, []).append((r.quote, r.form))
+        assert (HEAD + BODIES[r.doc_id][0])[r.start : r.end] == r.quote
+    assert got == {i: want for i, (_, want) in enumerate(BODIES) if want}
 
 
-def test_header_ends():
-    assert [X.header_end("a" * n) for n in (50, 1000, 4000)] == [80, 250, 700] and X.header_end("a\n\nb\n\n\nc" + "x" * 400) == 4
+def test_a_long_text_of_many_citations(spark):
+    text = HEAD + "conforme o REsp 1.234.567/SP e a Súmula 7 do STJ. " * 400
+    rows = X.extract_by_rules(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [r.form for r in sorted(rows, key=lambda r: r.start)] == ["processo", "sumula"] * 400
 
 
-def test_border_repair():
+def test_header_ends(spark):
+    texts = ["a" * 50, "a" * 1000, "a" * 4000, "a\n\nb\n\n\nc" + "x" * 400]
+    assert each(spark, X.header_end, texts) == [80, 250, 700, 4]
+
+
+def test_border_repair(spark):
     text = "Tema 725 e Lei 1Lei 2 ..."
-    assert X.repair_borders([(2, 8, "J"), (11, 16, "L"), (16, 21, "L"), (22, 25, "L")], text) == [(0, 8, "J"), (11, 16, "L"), (16, 21, "L")]
+    spans = spark.createDataFrame([([(2, 8, "J"), (11, 16, "L"), (16, 21, "L"), (22, 25, "L")], text)], "s array<struct<start:int,end:int,kind:string>>, t string")
+    got = spans.select(X.repair_borders(F.col("s"), F.col("t")).alias("x")).first().x
+    assert [tuple(s) for s in got] == [(0, 8, "J"), (11, 16, "L"), (16, 21, "L")]
+
+
+def test_extractors_by_name(spark):
+    docs = spark.createDataFrame([(1, HEAD + "no REsp 1.234.567/SP e Súmula 7.")], "doc_id long, text string")
+    at = len(HEAD)
+    model = spark.createDataFrame([(1, at + 3, at + 20, "JURIS", 0.5), (1, 0, 4, "LEI", 0.99)], "doc_id long, start int, end int, kind string, conf double")
+    spans = lambda name: {(r.start - at, r.end - at, r.kind) for r in X.extractor(name, model)(docs).collect()}
+    rules, weak, strong = {(0, 20, "JURIS"), (23, 31, "JURIS")}, (3, 20, "JURIS"), (-at, 4 - at, "LEI")
+    assert spans("regua") == rules and spans("neural-cru") == {weak, strong}
+    assert spans("uniao") == {weak, strong, (23, 31, "JURIS")} and spans("neural") == {(0, 20, "JURIS"), strong}
+    with pytest.raises(ValueError, match="unknown extractor"):
+        X.extractor("outro")
+    with pytest.raises(ValueError, match="spans"):
+        X.extractor("neural")
 
 
 def test_quotes_align():
@@ -189,9 +214,10 @@ def test_markup_aligns():
 
 
 def test_loose_text_tools():
-    assert T.find_normalised("O Códig0  de Pr0cesso", "codigo de", ocr=False) is None
-    assert T.find_normalised("Ver a SÚMULA nº 7.", "sumula no 7") == (6, 17)
-    assert T.find_similar("xx, Recurso Especial", "Recurso Especia1!")[2] > 0.9 and T.find_similar("abc", "xyz") is None
+    assert T.find_normalised("O Códig0  de Pr0cesso", "codigo de") == (2, 12, "ocr") and T.find_normalised("a b", "ab") is None
+    assert T.find_normalised("Ver a SÚMULA n° 7.", "sumula no 7") == (6, 17, "normalised")
+    assert T.find_similar("xx, Recurso Especial", "Recurso Especia1!") == (1, 19, 0.933) and T.find_similar("", "xyz") is None
+    assert T.find_similar("abc", "xyz") is None
     assert T.lenient_json('say {"a": 1} then {"b": {"c": 2}} end', "b") == {"b": {"c": 2}} and T.lenient_json("{", "a") is None
 
 

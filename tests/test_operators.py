@@ -115,10 +115,32 @@ def test_bio(spark):
 
 def test_adjudication(spark):
     span = "array<struct<start:int,end:int,kind:string>>"
-    text = "Ver o REsp 1.234 e o RE 77 e art. 5 fim"
-    rows = [(1, text, [(29, 35, "LEI")], [(6, 16, "JURIS"), (8, 16, "JURIS"), (21, 26, "JURIS"), (30, 35, "LEI")], [])]
+    text = "Ver o REsp 1.234/SP, Rel. Min. X, e o RE 77; art. 5 e art. 7 do CPC; Tema 9 da RG; nada; súmulas 5 e 6"
+    at = lambda q, k, end="": (text.index(q), text.index(end or q) + len(end or q), k)
+    j = at("REsp 1.234/SP", "JURIS")
+    divergent = [
+        at("REsp 1.234/SP, Rel. Min. X", "JURIS"),  # alone: cut after the state's code
+        at("o RE 77", "JURIS"), at("RE 77", "JURIS"),  # one envelope
+        at("art. 7", "LEI"), at("art. 7 do CPC", "LEI"),  # the law's name stays
+        at("Tema 9", "JURIS"), at("Tema 9 da RG", "VAGA"),  # the qualifier stays
+        at("nada", "JURIS"),  # without a digit it goes
+        at("súmulas 5 e 6", "JURIS"), at("súmulas 5", "JURIS"), at("6", "JURIS"),
+        at("art. 5 e", "LEI", "art. 5 e"),  # agreed already
+    ]
+    divergent[-3] = (text.rindex("súmulas 5"), text.rindex("súmulas 5") + 9, "JURIS")
+    divergent[-2] = (len(text) - 1, len(text), "JURIS")
+    agreed = [at("art. 5", "LEI")]
+    rows = [(1, text, agreed, divergent, None), (2, "ab 12 cd", [], [(0, 5, "JURIS"), (3, 8, "VAGA")], [(3, 8, "VAGA")]), (3, "ab 12 cd", [], [(0, 5, "JURIS"), (3, 8, "LEI")], [])]
+    rows += [(4, "ab 12 cd", [], [(0, 5, "JURIS"), (3, 8, "LEI")], None), (5, "x", [], [], None)]
     out = A.adjudicate(spark.createDataFrame(rows, f"doc_id long, text string, agreed {span}, divergent {span}, third {span}")).collect()
-    assert {(r.start, r.end, r.how) for r in out} == {(29, 35, "agreed"), (6, 16, "preferred"), (21, 26, "single")}
+    got = {i: {(t[r.start : r.end], r.kind, r.how) for r in out if r.doc_id == i} for i, t, *_ in rows}
+    assert got[1] == {
+        ("art. 5", "LEI", "agreed"), ("REsp 1.234/SP", "JURIS", "criteria"), ("o RE 77", "JURIS", "preferred"), ("art. 7 do CPC", "LEI", "preferred"),
+        ("Tema 9 da RG", "VAGA", "preferred"), ("súmulas 5", "JURIS", "preferred"), ("6", "JURIS", "preferred"),
+    }
+    assert j in {(r.start, r.end, r.kind) for r in out}
+    assert got[2] == {("12 cd", "VAGA", "third")} and got[3] == set() and got[5] == set()
+    assert got[4] == {("ab 12", "JURIS", "ambiguous"), ("12 cd", "LEI", "ambiguous")}
     both = spark.createDataFrame([([(0, 10, "J")], [(1, 10, "J"), (20, 25, "J")])], f"a {span}, b {span}").select(A.agreement(F.col("a"), F.col("b")).alias("x")).first().x
     assert [tuple(s) for s in both.agreed] == [(0, 10, "J")] and [tuple(s) for s in both.divergent] == [(20, 25, "J")]
 
