@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import stored
+from ._common import Lean, stored
 
 CODES = 16
 WIDTH = 2
@@ -181,7 +181,7 @@ def search(blocks: DataFrame, quantisers: dict[int, Quantiser], k: int = 20, eve
                     i = mine[at : at + query_rows]
                     yield pd.DataFrame({"q_dim": [dim], "q_ids": [ids[i].tobytes()], "q_vectors": [x[of[i]].tobytes()]})
 
-    asked = stored(blocks.select("dim", "own_ids", "own_of", "vectors").mapInPandas(queries_of, "q_dim int, q_ids binary, q_vectors binary"))
+    asked = stored(blocks.select("dim", "own_ids", "own_of", "vectors").mapInPandas(Lean(queries_of), "q_dim int, q_ids binary, q_vectors binary"))
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -228,7 +228,7 @@ def search(blocks: DataFrame, quantisers: dict[int, Quantiser], k: int = 20, eve
 
     n = blocks.count()
     pairs = blocks.select("dim", "ids", "starts", "vectors", "codes", "residuals").repartition(max(1, min(n, 2000))).crossJoin(asked.repartition(max(1, min(24 // max(n, 1), 8))))
-    near = pairs.mapInPandas(scan, "query_id long, vec_id long, score double")
+    near = pairs.mapInPandas(Lean(scan), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")

@@ -5,8 +5,8 @@ rate: the mixture's size times the source's target share, over what the source h
 at a uniform number hashed from (seed, doc_id), so it depends on nothing else: not on partitions, order or retries.
 Each document is exploded by its count and the copies are shuffled globally by a hash of (seed, doc_id, copy).
 
-Defined cases: documents of a null source form a source of their own. Null doc_ids and repeated rows draw the same
-number. A source whose target weight is 0, or that weighs nothing, gives no copies. An empty table gives an empty
+Defined cases: documents of a null source form a source of their own. Rows without a doc_id draw by a hash of their
+other columns; rows that share a doc_id draw the same number. Texts aren't read. A source whose target weight is 0, or that weighs nothing, gives no copies. An empty table gives an empty
 result. Columns are kept; copy and order columns are named copy and shuffle_key, with underscores before them if the
 input has such columns.
 """
@@ -67,7 +67,9 @@ def mix_sources(
     mass = F.lit(1.0) if mass is None else mass
     rates = source_rates(docs, source, mass, weights, power, epochs).withColumn("cdf", poisson_cdf(F.col("rate"))).select("mix_source", "cdf")
     drawn, salt = free_name(docs, "drawn"), free_name(docs, "mix_salt")
-    rows = docs.withColumn(drawn, uniform(seed, F.col(doc_id)))
+    others = F.concat(F.lit("-"), F.hex(F.xxhash64(*[c for c in docs.columns if c != doc_id], F.lit(0))))
+    named = F.coalesce(F.col(doc_id).cast("string"), others)
+    rows = docs.withColumn(drawn, uniform(seed, named))
     if rates.count() <= BROADCAST_SOURCES:
         rows = rows.join(F.broadcast(rates), F.col(source).eqNullSafe(F.col("mix_source")), "left")
     else:
@@ -77,9 +79,13 @@ def mix_sources(
     count = F.size(F.filter("cdf", lambda c: c <= F.col(drawn)))
     copies = F.when(count > 0, F.sequence(F.lit(1), count)).otherwise(F.array().cast("array<int>"))
     out = rows.withColumn(copy, F.explode(copies)).drop("cdf", "mix_source", drawn)
-    text = F.concat_ws("|", F.lit(seed), F.lit("order"), F.coalesce(F.col(doc_id).cast("string"), F.lit("")), F.col(copy).cast("string"))
+    text = F.concat_ws("|", F.lit(seed), F.lit("order"), named, F.col(copy).cast("string"))
     out = out.withColumn(order, F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long"))
-    return out.repartition(order).sortWithinPartitions(order) if shuffle else out
+    if not shuffle:
+        return out
+    # rows that share a doc_id share their place too: the partition they come from spreads them
+    out = out.withColumn(drawn, F.spark_partition_id())
+    return out.repartition(order, drawn).drop(drawn).sortWithinPartitions(order)
 
 
 def mix_digest(docs: DataFrame) -> DataFrame:

@@ -15,11 +15,13 @@ sequence as one; without words, empty and linked with nothing. Two sets link whe
    fixed ranges) are verified once too. No link between classes of different components is lost.
 5. Components by alternating large-star and small-star steps, each a stored table.
 
-Shingles and classes that hold at least a ten-thousandth of the rows (so at most 10,000 of them) are joined by
-broadcast, all others by shuffle, so a hot one meets no single task.
+Shingles and classes that hold at least a ten-thousandth of the rows (so at most 10,000 of them) are split by salt, so a
+hot one meets no single task. In step 4 the classes of a shingle meet within a length class only (two sets that link lie
+in the same or in neighbouring ones), and a large meeting is split by salt too; its work is still quadratic in the
+classes of one shingle and length that step 3 left in different components.
 
 Defined cases: a null text has no words. Rows without a doc_id get no component (null) and link with nothing. Rows that
-share a doc_id are judged each by its text. An empty table gives an empty result.
+share a doc_id are judged each by its text. Texts of any length are read whole. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType
 
-from ._common import LOWER_BYTES, forget, free_name, stored
+from ._common import LOWER_BYTES, Lean, forget, free_name, hot_keys, salted_join, stored
 
 CELL_BITS = 18
 BINS = 16
@@ -130,7 +132,7 @@ def _digest(docs: DataFrame, words: int) -> DataFrame:
              "bins": none, "sig": none, "chunk": pd.array(range(_CHUNKS), "Int32"), "counts": [p.tobytes() for p in part]}
         )
 
-    return docs.mapInPandas(run, "doc_id long, n long, s1 long, s2 long, bins array<int>, sig binary, chunk int, counts binary")
+    return docs.mapInPandas(Lean(run), "doc_id long, n long, s1 long, s2 long, bins array<int>, sig binary, chunk int, counts binary")
 
 
 def _cells(digest: DataFrame) -> np.ndarray:
@@ -181,32 +183,25 @@ def _postings(docs: DataFrame, words: int, percent: int, cells: np.ndarray) -> D
                 n = len(ranks)
                 yield pd.DataFrame({"p": pd.array([pd.NA], "Int64").repeat(n), "s1": [r[0] for r in ranks], "rank": pd.array([r[1] for r in ranks], "Int64")})
 
-    return docs.filter("doc_id is not null").select("text").mapInPandas(run, "p long, s1 long, rank long")
+    return docs.filter("doc_id is not null").select("text").mapInPandas(Lean(run), "p long, s1 long, rank long")
 
 
 def _shared_postings(postings: DataFrame) -> DataFrame:
     """(token, pos, s1) of the shingles that different sets have in their prefixes. The postings of cold shingles are
     dealt once, by shingle: what they are summed up to and what that is joined with is the same exchange. Hot ones are
-    summed up before they move, and joined as adaptive execution sees fit."""
+    summed up before they move and joined with salts."""
     cut = F.shiftright("p", 16).alias("token"), F.col("p").bitwiseAND(F.lit(2**15 - 1)).cast("int").alias("pos"), "s1"
     is_hot = F.col("p").bitwiseAND(F.lit(2**15)) != 0
     rows = postings.filter("p is not null")
 
-    def shared(part: DataFrame) -> DataFrame:
-        sums = part.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi")).filter("lo <> hi")
-        return part.join(sums.select("token").hint("merge"), "token")
+    def sums(part: DataFrame) -> DataFrame:
+        return part.groupBy("token").agg(F.min("s1").alias("lo"), F.max("s1").alias("hi"), F.count(F.lit(1)).alias("n")).filter("lo <> hi").select("token", "n")
 
-    cold = shared(rows.filter(~is_hot).select(*cut).repartition("token"))
-    return cold.unionByName(shared(rows.filter(is_hot).select(*cut)))
-
-
-def _spread_join(rows: DataFrame, unique: DataFrame, on: list[str], weight: str, total: int) -> DataFrame:
-    """rows inner join unique, which has each key once and in `weight` how many of the `total` rows have it. Keys with
-    a ten-thousandth of the rows, at most 10,000, are broadcast. The others are shuffled at every size, so that a small
-    input shows the plan of a large one."""
-    heavy = max(1000, -(-total // 10_000))
-    often, seldom = unique.filter(F.col(weight) >= heavy).drop(weight), unique.filter(F.col(weight) < heavy).drop(weight)
-    return rows.join(F.broadcast(often), on).unionByName(rows.join(seldom.hint("merge"), on))
+    cold = rows.filter(~is_hot).select(*cut).repartition("token")
+    hot = rows.filter(is_hot).select(*cut)
+    shared = stored(sums(hot))
+    split = salted_join(hot, shared.select("token"), ["token"], hot_keys(shared, "n", hot.count()))
+    return cold.join(sums(cold).select("token").hint("merge"), "token").unionByName(split)
 
 
 def _may_link(n1: Column, n2: Column, pos1: Column, pos2: Column, percent: int) -> Column:
@@ -222,19 +217,33 @@ def _suffix_allows(n1: Column, n2: Column, bins1: Column, bins2: Column, percent
     return differ <= most
 
 
-def _plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _busy(pairs: DataFrame) -> DataFrame:
+    """The hot classes among those of pairs (class_id, salts_): a pivot is in as many pairs as its group has members."""
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("class_id"))
+    return stored(hot_keys(ends.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")), "n", 2 * pairs.count()))
+
+
+def _with_ends(pairs: DataFrame, of_class: DataFrame, busy: DataFrame) -> DataFrame:
+    """pairs with the columns c of of_class (class_id, c ...) for either end, as c_a and c_b."""
+    for end in ("a", "b"):
+        named = of_class.select(F.col("class_id").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in of_class.columns if c != "class_id"])
+        pairs = salted_join(pairs, named, [end], busy.withColumnRenamed("class_id", end), by=["a", "b"])
+    return pairs
+
+
+def _plausible(pairs: DataFrame, classes: DataFrame, busy: DataFrame, percent: int) -> DataFrame:
     """The suffix filter: the pairs whose signatures allow as many shingles in common as a link needs."""
-    sigs = classes.select("class_id", "n", "sig")
-    rows = pairs.join(sigs.toDF("a", "n1", "g1").hint("merge"), "a").join(sigs.toDF("b", "n2", "g2").hint("merge"), "b")
-    n = F.col("n1") + F.col("n2")
+    rows = _with_ends(pairs, classes.select("class_id", "n", "sig"), busy)
+    n = F.col("n_a") + F.col("n_b")
     most = n - 2 * F.ceil(F.lit(percent) * n / F.lit(100 + percent))
-    return rows.withColumn("differ", _differ("g1", "g2")).filter(F.col("differ") <= most).select("a", "b")
+    return rows.withColumn("differ", _differ("sig_a", "sig_b")).filter(F.col("differ") <= most).select("a", "b")
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that link. Only texts of classes in a pair are read into sets again: which ones these
     are is sent around as a fixed number of hash cells, so no text is shuffled; the few sets of others meet no pair."""
-    pairs = near = stored(_plausible(pairs, classes, percent))
+    busy = _busy(pairs)
+    pairs = near = stored(_plausible(pairs, classes, busy, percent))
     cell = F.pmod(F.xxhash64("doc_id"), F.lit(2**_NEEDED_BITS)).cast("int")
     needed = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
     texts = docs.withColumn("cell", cell).join(F.broadcast(needed.select(cell.alias("cell")).distinct()), "cell", "left_semi")
@@ -246,34 +255,39 @@ def _verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, words: int,
             out = pd.DataFrame([_set_hash(s) for s in sets], columns=["s1", "s2"])
             yield out.assign(class_id=batch["doc_id"].to_numpy(), shingles=[s.view(np.int64) for s in sets])
 
-    sets = kept = stored(texts.select("doc_id", "text").mapInPandas(run, "s1 long, s2 long, class_id long, shingles array<long>"))
+    sets = kept = stored(texts.select("doc_id", "text").mapInPandas(Lean(run), "s1 long, s2 long, class_id long, shingles array<long>"))
     if not sets.groupBy("class_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").isEmpty():
         # rows share a doc_id: of these only the text that the class is of
         own = classes.select("s1", "s2", "class_id")
         sets = sets.join(own, ["s1", "s2", "class_id"], "left_semi").dropDuplicates(["s1", "s2", "class_id"])
-    both = pairs.join(sets.select(F.col("class_id").alias("a"), F.col("shingles").alias("x")).hint("merge"), "a")
-    both = both.join(sets.select(F.col("class_id").alias("b"), F.col("shingles").alias("y")).hint("merge"), "b")
-    both = both.withColumn("common", F.size(F.array_intersect("x", "y")))
-    linked = both.filter(100 * F.col("common") >= percent * (F.size("x") + F.size("y") - F.col("common")))
+    both = _with_ends(pairs, sets.select("class_id", "shingles"), busy)
+    both = both.withColumn("common", F.size(F.array_intersect("shingles_a", "shingles_b")))
+    linked = both.filter(100 * F.col("common") >= percent * (F.size("shingles_a") + F.size("shingles_b") - F.col("common")))
     linked = stored(linked.select("a", "b").distinct())
-    forget(kept, near)
+    forget(kept, near, busy)
     return linked
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of the edges (a, b); a component is named by its smallest node."""
+def components(edges: DataFrame) -> DataFrame:
+    """(node, component) of every node of the edges (a, b); a component is named by its smallest node. Rounds go on until
+    the edges no longer change, O(log n) of them for alternating stars."""
 
     def state(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
+        return tuple(e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b")), F.sum(F.xxhash64(F.lit(1), "a", "b") % 2**31)).first())
+
+    def hot(e: DataFrame) -> DataFrame:
+        return hot_keys(e.groupBy("a").agg(F.count(F.lit(1)).alias("n")), "n", before[0])
 
     edges = stored(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     before = state(edges)
-    for _ in range(most_rounds if before[0] else 0):
+    while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        # a star's centre has as many edges as its component has nodes
+        above = edges.select(F.col("b").alias("a"), F.col("a").alias("b"))
+        large = stored(salted_join(above, least, ["a"], hot(above)).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct())
         least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
+        small = salted_join(large, least, ["a"], hot(large)).select(F.explode(F.array("a", "b")).alias("a"), F.col("m").alias("b"))
         edges = stored(small.filter("a <> b").distinct())
         if (now := state(edges)) == before:
             break
@@ -282,6 +296,34 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
 
 
+def _across(rest: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes that share a token, lie in different components and pass all filters. A class meets
+    those of its own length class and of the one above, m classes in about sqrt(m / 256) parts."""
+    step = F.lit(100 / percent)
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(step) + 1e-9) if percent < 100 else F.col("n")
+    rest = stored(rest.withColumn("size", size.cast("long")))
+    held = stored(rest.groupBy("token", "size").agg(F.count(F.lit(1)).alias("m")))
+    parts = held.filter("m > 256").select("token", "size", F.ceil(F.sqrt(F.col("m") / 256)).cast("int").alias("parts"))
+    if parts.isEmpty():
+        rest = rest.withColumns({"parts": F.lit(1), "parts_below": F.lit(1)})
+    else:
+        below = parts.select("token", (F.col("size") + 1).alias("size"), F.col("parts").alias("parts_below"))
+        rest = salted_join(rest, parts.join(below, ["token", "size"], "full"), ["token", "size"], hot_keys(held, "m", rest.count()), "left")
+        rest = rest.withColumns({c: F.coalesce(c, F.lit(1)) for c in ("parts", "parts_below")})
+    x = rest.withColumn("part", F.pmod(F.xxhash64("class_id"), F.col("parts")).cast("int"))
+    # y goes to the parts of its own length class and of the one below
+    to = F.array(F.struct(F.col("size").alias("s"), F.col("parts").alias("k")), F.struct((F.col("size") - 1).alias("s"), F.col("parts_below").alias("k")))
+    y = rest.withColumn("to", F.explode(to)).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("to.k") - 1)))
+    x, y = x.alias("x"), y.alias("y")
+    meets = (
+        (F.col("x.token") == F.col("y.token")) & (F.col("x.size") == F.col("y.to.s")) & (F.col("x.part") == F.col("y.part"))
+        & ((F.col("x.size") < F.col("y.size")) | (F.col("x.class_id") > F.col("y.class_id"))) & (F.col("x.component") != F.col("y.component"))
+        & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), percent)
+        & _suffix_allows(F.col("x.n"), F.col("y.n"), F.col("x.bins"), F.col("y.bins"), percent)
+    )
+    return x.join(y, meets).select(F.greatest("x.class_id", "y.class_id").alias("a"), F.least("x.class_id", "y.class_id").alias("b")).distinct()
+
+
 def link_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Of (doc_id, text): the digest (doc_id, n, s1, s2) of every row, the classes (s1, s2, class_id, n_docs) and
     (node, component) of all classes that are linked."""
@@ -296,8 +338,10 @@ def link_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[Da
     live = _shared_postings(postings).join(classes.select("s1", "class_id", "n", "rank").hint("merge"), "s1").drop("s1")
     live = stored(live.groupBy("token", "class_id").agg(F.min("pos").alias("pos"), *[F.first(c).alias(c) for c in ("n", "rank")]))
     forget(postings)
-    pivots = live.groupBy("token").agg(F.min(F.struct("rank", "class_id", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("held"))
-    star = _spread_join(live, stored(pivots), ["token"], "held", live.count()).filter(
+    n_live = live.count()
+    pivots = stored(live.groupBy("token").agg(F.min(F.struct("rank", "class_id", "n", "pos")).alias("p"), F.count(F.lit(1)).alias("held")))
+    often = hot_keys(pivots.select("token", "held"), "held", n_live)
+    star = salted_join(live, pivots.drop("held"), ["token"], often).filter(
         (F.col("class_id") != F.col("p.class_id")) & _may_link(F.col("n"), F.col("p.n"), F.col("pos"), F.col("p.pos"), percent)
     )
     star = stored(star.select(F.greatest("class_id", "p.class_id").alias("a"), F.least("class_id", "p.class_id").alias("b")).distinct())
@@ -308,19 +352,13 @@ def link_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[Da
     live = live.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     live = stored(live)
     forget(bare)
-    split = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("held")).filter("lo <> hi")
-    rest = _spread_join(live, stored(split.select("token", "held")), ["token"], "held", live.count())
+    split = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
+    rest = salted_join(live, stored(split.select("token")), ["token"], often)
     rest = stored(rest.join(classes.select("class_id", "bins").hint("merge"), "class_id"))
-    x, y = rest.alias("x"), rest.alias("y")
-    across = (
-        (F.col("x.token") == F.col("y.token")) & (F.col("x.class_id") > F.col("y.class_id")) & (F.col("x.component") != F.col("y.component"))
-        & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), percent)
-        & _suffix_allows(F.col("x.n"), F.col("y.n"), F.col("x.bins"), F.col("y.bins"), percent)
-    )
-    pairs = x.join(y, across).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b")).distinct()
+    pairs = _across(rest, percent)
     pairs = stored(pairs.join(star, ["a", "b"], "left_anti"))
     more = _verified(pairs, docs, classes, words, percent)
-    forget(live, rest, star, pairs)
+    forget(live, rest, star, pairs, pivots)
     rows, classes = rows.select("doc_id", "n", "s1", "s2"), classes.drop("bins", "sig", "rank", "n")
     if more.isEmpty():
         return rows, classes, groups
@@ -340,7 +378,8 @@ def similar_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text
     rows, classes, groups = link_classes(docs, words, percent)
     named = classes.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left")
     named = stored(named.select("s1", "s2", F.coalesce("component", "class_id").alias("component_id"), "n_docs"))
-    linked = _spread_join(rows.filter("n > 0 and doc_id is not null"), named, ["s1", "s2"], "n_docs", rows.count())
+    often = hot_keys(named.select("s1", "s2", "n_docs"), "n_docs", rows.count())
+    linked = salted_join(rows.filter("n > 0 and doc_id is not null"), named.drop("n_docs"), ["s1", "s2"], often)
     alone = rows.filter("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     out = linked.unionByName(alone.select(*linked.columns))
     return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id")

@@ -7,7 +7,7 @@ three pieces that dominates every other set holding its largest piece is fixed f
 on what is left. A plan is a list of (lengths in a sequence, number of such sequences). Each piece has a rank among the
 pieces of its length, and its rank gives its place in the plan: no task ever sees more than its own pieces.
 
-Defined cases: a null text is an empty one; it still has its end token. Null doc_ids are kept. Repeated rows are packed
+Defined cases: a null text is an empty one; it still has its end token. Texts of any length are read whole. Null doc_ids are kept. Repeated rows are packed
 each for itself. An empty table gives an empty result.
 """
 
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import free_name, stored
+from ._common import Lean, free_name, kept_by_worker, stored
 
 Plan = list[tuple[tuple[int, ...], int]]
 
@@ -215,27 +215,24 @@ class WordEncoder:
     #: Letters of U+0041 to U+024F but U+0130, whose lower case is no letter; punctuation without the apostrophe.
     PLAIN = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+)([!-&(-/:-@\[-`{-~]*)")
 
-    def __init__(self, path: str, end: int, most: int = 700_000):
+    def __init__(self, path: str, end: int, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.end, self.most = Tokenizer.from_file(path), end.to_bytes(4, "little"), most
         self.model, self.letters = self.tokenizer.model, _byte_letters()
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {"": b""}
         self.gap = self._ids("\x00")
 
     def _ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
 
     def _part(self, part: str) -> bytes:
-        """The ids of a pre-token that is normalized already."""
-        found = self.parts.get(part)
+        """The ids of a pre-token that is normalized already: those of the word that it is by itself."""
+        found = self.known.get(part)
         if found is None:
-            if len(self.parts) > self.most:
-                self.parts = {"": b""}
             name = part if part.isascii() else part.encode().decode("latin-1").translate(self.letters)
-            ids = [t.id for t in self.model.tokenize(name)]
-            found = self.parts[part] = struct.pack(f"<{len(ids)}I", *ids)
+            ids = [t.id for t in self.model.tokenize(name)] if part else []
+            found = self.known[part] = struct.pack(f"<{len(ids)}I", *ids)
         return found
 
     def _learn(self, words: list[str]) -> None:
@@ -274,17 +271,16 @@ class WordEncoder:
         return b"".join([known[w] for w in words]) + self.end
 
 
-#: One encoder for a Python worker, so that tasks find the words of those before them.
-_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
+def _owner(tokenizer: str, end: int) -> str:
+    return f"encoder {tokenizer} {end}"
 
 
 def _encoder(tokenizer: str, end: int) -> WordEncoder:
+    """One encoder for a Python worker, so that tasks find the words of those before them; it goes when the worker turns
+    to another operator."""
     import public_tokenizers
 
-    key = (public_tokenizers.path(tokenizer), end)
-    if key not in _ENCODERS:
-        _ENCODERS[key] = WordEncoder(*key)
-    return _ENCODERS[key]
+    return kept_by_worker(_owner(tokenizer, end), lambda: WordEncoder(public_tokenizers.path(tokenizer), end))
 
 
 def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096, tokenizer: str = "word_bpe_49k.json", end: int = 1, with_ids: bool = False) -> DataFrame:
@@ -305,7 +301,7 @@ def token_pieces(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", ca
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
             yield out.astype({"doc_id": "Int64"}) if kind in ("bigint", "int") else out
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(Lean(cut, owner=_owner(tokenizer, end)), schema)
 
 
 def pack(pieces: DataFrame, capacity: int = 4096, length: str = "length", key: list[str] | None = None, rows_per_bucket: int = 500_000) -> DataFrame:
@@ -339,5 +335,7 @@ def pack(pieces: DataFrame, capacity: int = 4096, length: str = "length", key: l
 
 def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity: int = 4096, tokenizer: str = "word_bpe_49k.json", end: int = 1, with_ids: bool = False) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, sequence_id, offset) and the ids if asked for: one row per piece."""
-    pieces = stored(token_pieces(docs, doc_id, text, capacity, tokenizer, end, with_ids))
-    return pack(pieces, capacity, key=["doc_id", "piece", "start", "ids_crc32"])
+    pieces = token_pieces(docs, doc_id, text, capacity, tokenizer, end, with_ids)
+    # equal rows differ in their number, so that they are dealt over buckets like others
+    pieces = stored(pieces.withColumn("piece_number", F.monotonically_increasing_id()))
+    return pack(pieces, capacity, key=["piece_number"]).drop("piece_number")

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import free_name, stored
+from ._common import Lean, free_name, stored
 
 #: The columns of the base rule, then those that only the learned rules use.
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -103,7 +103,7 @@ def with_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
             out.insert(0, "doc_id", batch["doc_id"].to_numpy() if kind == "string" else batch["doc_id"].astype("Int64").to_numpy())
             yield out
 
-    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(run, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInPandas(Lean(run), schema)
 
 
 @dataclass(frozen=True)

@@ -1,7 +1,7 @@
 """Sharding by histogram sort: shards of near equal bytes, cut from one order over all rows.
 
-Rows are ordered by a 128-bit key, (hash of the text, hash of the doc_id): copies of a text are neighbours, and no key
-holds more than the rows that share text and doc_id. Splitters are found by counting: each round counts the exact bytes
+Rows are ordered by a 128-bit key, (hash of the text, hash of the doc_id and the row's number): copies of a text are
+neighbours, and no two rows share a key, even if they are equal or have no doc_id. Splitters are found by counting: each round counts the exact bytes
 of the rows below every candidate boundary of the key ranges that still hold an unmet splitter, over all partitions,
 and refines those ranges `digit` bits further, until each splitter's boundary is within the tolerance of its target, or
 no row is left to cut between. A round sends at most (shards - 1) * 2^digit sums to the driver. Then rows are exchanged once.
@@ -9,8 +9,8 @@ no row is left to cut between. A round sends at most (shards - 1) * 2^digit sums
 All of it is DataFrame functions. Law: `bytes`, sizes near equal: each boundary lies within `tolerance` of an ideal
 shard's bytes, or as near as single keys allow.
 
-Defined cases: a null text weighs `overhead` bytes and has CRC 0; a null doc_id hashes as such. Repeated rows share a
-key and so a shard. With no rows there is nothing to cut and the result is empty. More shards than rows leave shards
+Defined cases: a null text weighs `overhead` bytes and has CRC 0; a null doc_id hashes as such. Repeated rows are cut
+like others. Texts of any length are read whole; a text heavier than a shard makes its shard as heavy as itself. With no rows there is nothing to cut and the result is empty. More shards than rows leave shards
 empty.
 """
 
@@ -27,14 +27,15 @@ _SIGN = -(2**63)
 Splitter = tuple[int, int]
 
 
-def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", overhead: int = 8) -> DataFrame:
-    """(key columns, size, text_crc32) of every row, with all of its columns but the text."""
+def keyed(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", overhead: int = 8, number: bool = False) -> DataFrame:
+    """(key columns, size, text_crc32) of every row, with all of its columns but the text. With `number` the key holds
+    the row's number too: store the result, since numbers depend on how the input is read."""
     rest = [F.col(c) for c in docs.columns if c != text]
     data = F.coalesce(F.col(text).cast("binary"), F.lit("").cast("binary"))
     return docs.select(
         *rest,
         F.xxhash64(text).alias(free_name(docs, "h1")),
-        F.xxhash64(F.lit(1), doc_id).alias(free_name(docs, "h2")),
+        F.xxhash64(F.lit(1), doc_id, *[F.monotonically_increasing_id()] * number).alias(free_name(docs, "h2")),
         (F.octet_length(data) + overhead).cast("long").alias(free_name(docs, "size")),
         F.crc32(data).cast("long").alias(free_name(docs, "text_crc32")),
     )
@@ -117,7 +118,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", tex
     The one exchange of rows is on (shard, bucket), a bucket being a hash of the key: a shard is never one task. A slot
     is the place in the bucket plus the sizes of the shard's buckets before it."""
     names = {c: free_name(docs, c) for c in ("h1", "h2", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "bucket", "before")}
-    rows = stored(keyed(docs, doc_id, text))
+    rows = stored(keyed(docs, doc_id, text, number=True))
     splitters, _ = find_splitters(rows, shards, names["h1"], names["h2"], names["size"], tolerance)
     shard, bucket, before, slot = (names[c] for c in ("shard", "bucket", "before", "slot"))
     n_buckets = max(16, -(-rows.count() // (shards * rows_per_bucket)))
@@ -137,7 +138,7 @@ def assign_shards(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", tex
 
 def exchange(docs: DataFrame, shards: int = 24, doc_id: str = "doc_id", text: str = "text", tolerance: float = 0.001, sub: int = 8) -> DataFrame:
     """docs, whole texts included, in the order of the shards, exchanged once: sub partitions for each shard, sorted by
-    key within. For writing shards as folders, add partitionBy("shard") to the writer."""
+    key within; rows that share text and doc_id stay together. For writing shards as folders, add partitionBy("shard") to the writer."""
     names = [free_name(docs, c) for c in ("h1", "h2", "shard")]
     full = docs.withColumn(names[0], F.xxhash64(text)).withColumn(names[1], F.xxhash64(F.lit(1), doc_id))
     size = keyed(docs, doc_id, text)

@@ -12,7 +12,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from citeweave.llm import line_dedup, lm_scoring, ngram_join, packing, quality_rules, sharding
+from citeweave.llm import _common, line_dedup, lm_scoring, ngram_join, packing, quality_rules, sharding
 from citeweave.llm._common import stored
 
 BLANK = " \t\n\x0b\x0c\r"
@@ -72,6 +72,30 @@ def test_runs_are_levelled_and_batches_lose_seen_lines(spark):
     assert [len(level) for level in store.levels] == [0, 0, 1] and store.runs()[0].count() == 5
 
 
+def test_line_dedup_of_hot_lines_null_and_repeated_ids(spark):
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else 1000 + i, f"{LONG}\n{'row %04d ' % i * 4}\n{'the line of a half ' * 2 if i % 2 else ''}") for i in range(900)]
+    rows += [(None, LONG)] * 50 + [(5000, "x" * 200_000 + "\n" + LONG)]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    out = line_dedup.dedup_lines(docs).collect()
+    assert len(out) == len(rows)
+    half = max(i for i in range(900) if i % 3 == 2 and i % 2) + 1000
+    for r in out:
+        lines = r.text.split("\n")
+        assert (LONG in lines) == (r.doc_id == 5000)
+        assert ("the line of a half " * 2 in lines) == (r.doc_id == half)
+        assert r.n_lines - r.n_dropped == len(lines) if r.text else r.n_lines - r.n_dropped in (0, 1)
+
+
+def test_salted_join_is_a_join(spark):
+    rows = spark.createDataFrame([(k, v) for v in range(1000) for k in ((0,) if v % 3 else (0, v))], "k int, v int")
+    unique = spark.createDataFrame([(k, str(k)) for k in range(0, 1000, 2)], "k int, name string")
+    hot = _common.hot_keys(rows.groupBy("k").count(), "count", rows.count())
+    assert [tuple(r) for r in hot.collect()] == [(0, 16)]
+    for how in ("inner", "left", "left_semi"):
+        got, want = (sorted(map(str, x.collect())) for x in (_common.salted_join(rows, unique, ["k"], hot, how), rows.join(unique, "k", how)))
+        assert got == want
+
+
 @given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=30))
 def test_repeated_words(words):
     windows = [tuple(words[i : i + 3]) for i in range(len(words) - 2)]
@@ -98,7 +122,7 @@ def test_quality_rules_find_what_labels_say(spark):
 def test_lm_scores(spark):
     rows = [(i, f"the cat sat on the mat {i % 5} the end of it" if i % 2 else f"der hund lag auf der matte {i % 5} am ende") for i in range(120)]
     rows += [(1000, None), (1001, ""), (None, "Unknown words ONLY"), (1002, "zzz qqq " * 50)]
-    out = lm_scoring.score(spark.createDataFrame(rows, SCHEMA), units=24, classes=8, head=12, rounds=120).collect()
+    out = lm_scoring.score(spark.createDataFrame(rows, SCHEMA), most_units=24, classes=8, head=12, rounds=4, least_tokens=60_000).collect()
     held = {i: zlib.crc32(("" if i is None else str(i)).encode()) % 10 == 0 for i, _ in rows}
     c = Counter()
     for i, t in rows:
@@ -114,21 +138,56 @@ def test_lm_scores(spark):
     assert sum(r.score for r in seen) > sum(r.base_score for r in seen) + 10
 
 
+def test_lm_score_is_brute_force(spark):
+    rows = [(i, f"the cat sat on the mat {i % 7} rare{i // 9} end" if i % 2 else "der hund lag auf dem Ofen " * (i % 4)) for i in range(100)] + [(None, "x y"), (200, None)]
+    docs, options = spark.createDataFrame(rows, SCHEMA).coalesce(1), {"most_units": 16, "classes": 4, "head": 9, "rounds": 2, "least_tokens": 5000}
+    scorer, vocab, _, _ = lm_scoring.fit(docs.filter(~lm_scoring.held_out(F.col("doc_id"))), **options)
+    units, counts, (a, b, z) = scorer.units, {r.word.encode(): r.c for r in vocab.collect()}, scorer.tables
+    want = {}
+    for i, t in rows:
+        tokens, total = [b"", b"", *lm_scoring.words_of(t), b""], 0.0
+        ids = [units.of(w) if w else 0 for w in tokens]
+        for k in range(2, len(ids)):
+            two = ids[k - 2] if k > 2 else 0
+            total += a[two, ids[k]] + b[ids[k - 1], ids[k]] - z[two, ids[k - 1]]
+            if ids[k] >= len(units.singles):
+                total += math.log10((counts.get(tokens[k], 0) + 0.1) / (units.tokens[ids[k]] + 0.1 * (units.words[ids[k]] + 1)))
+        want[i] = total
+    assert {r.doc_id: r.score for r in lm_scoring.score(docs, **options).collect()} == {i: pytest.approx(x, rel=1e-4) for i, x in want.items()}
+
+
 def test_lm_counts_the_end_beyond_the_head(spark):
     docs = spark.createDataFrame([(i, "aa bb cc " * 5) for i in range(1, 9)], SCHEMA)
-    scorer, _, n, v = lm_scoring.fit(docs, units=8, classes=4, head=2, rounds=2)
-    assert scorer.head[b""][0] == pytest.approx(math.log10((8 + 0.1) / (n + 0.1 * (v + 1)))) and (n, v) == (128, 4)
+    scorer, vocab, n, v = lm_scoring.fit(docs, classes=4, head=2, rounds=2, least_tokens=1)
+    assert scorer.base[scorer.head[b""]] == pytest.approx(math.log10((8 + 0.1) / (n + 0.1 * (v + 1)))) and (n, v) == (128, 4)
+    assert lm_scoring.frequent_words(vocab, 2) == [] and lm_scoring.frequent_words(vocab, 3) == [("aa", 40), ("bb", 40), ("cc", 40)]
+    empty = lm_scoring.score(docs.filter("false"))
+    assert empty.count() == 0 and {r.train_tokens for r in lm_scoring.score(spark.createDataFrame([(8, "only held out")], SCHEMA).filter(lm_scoring.held_out(F.col("doc_id")))).collect()} <= {0}
 
 
-def test_lm_is_normalised():
+def test_lm_follows_its_gradient_and_is_normalised():
+    rng = np.random.default_rng(1)
     model = lm_scoring.LogBilinear(9, 4)
-    counts = np.random.default_rng(1).integers(0, 50, (9, 9, 9))
-    losses = model.train(counts, rounds=60)
-    assert losses[-1] < losses[0]
-    assert np.allclose((10 ** model.table().astype(float)).sum(1), 1, atol=1e-5)
-    ids, lengths = np.array([3, 0, 4, 5, 0, 0]), np.array([2, 3, 1])
-    two, one = lm_scoring._contexts(ids, lengths)
-    assert one.tolist() == [0, 3, 0, 4, 5, 0] and two.tolist() == [0, 0, 0, 0, 4, 0]
+    two, one, word, noise = rng.integers(0, 9, 50), rng.integers(0, 9, 50), rng.integers(0, 9, 50), rng.integers(0, 9, 6)
+    shift = np.log(6 * np.full(9, 1 / 9)).astype(np.float32)
+
+    def objective(flat):
+        m = lm_scoring.LogBilinear(9, 4, flat=flat)
+        h = (m.r[two] @ m.c[0].T + m.r[one] @ m.c[1].T).astype(float)
+        s = lambda x: 1 / (1 + np.exp(-x))
+        return np.log(s((h * m.q[word]).sum(1) + m.b[word] - shift[word])).sum() + np.log(1 - s(h @ m.q[noise].T + m.b[noise] - shift[noise])).sum()
+
+    g, step = model.gradient(two, one, word, noise, shift), 1e-2
+    for i in rng.integers(0, len(g), 30):
+        d = np.zeros(len(g), np.float32)
+        d[i] = step
+        assert (objective(model.flat + d) - objective(model.flat - d)) / (2 * step) == pytest.approx(g[i], abs=2e-2, rel=2e-2)
+    stream = np.array(([1, 2, 3, 0] * 40 + [4, 5, 6, 7, 0] * 40) * 20, np.uint16)
+    model.train([stream], np.bincount(stream, minlength=9) / len(stream) + 1e-3, 8, 0.2, 3, batch=64)
+    a, b, z = model.tables()
+    p = 10 ** (a[:, None, :] + b[None, :, :] - z[:, :, None]).astype(float)
+    assert np.allclose(p.sum(2), 1, atol=1e-4) and p[1, 2, 3] > 0.5 and p[0, 4, 5] > 0.5
+    assert [x.tolist() for x in lm_scoring.contexts(np.array([3, 0, 4, 5, 0, 0], np.uint16))] == [[0, 0, 0, 0, 4, 0], [0, 3, 0, 4, 5, 0]]
 
 
 def shingles(text, n):
