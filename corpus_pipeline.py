@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from citeweave.llm import line_dedup, mixing, ngram_join, packing, quality_rules
-from citeweave.llm._common import stored
+from citeweave.llm._common import keep_only, stored, written
 
 ORACLE_SQL = None
 
@@ -58,8 +58,7 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = stored(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        mark = written()
+        docs = keep_only(stored(stage(spark, docs, sf_dir)), mark)  # what the stage left behind goes
+    return STAGES[-1][1](spark, docs, sf_dir)
