@@ -193,3 +193,13 @@ def salted_join(rows: DataFrame, unique: DataFrame, on: list[str], hot: DataFram
     dealt = rows.join(small, on, "left").withColumn("salt_", deal).drop("salts_")
     copies = unique.join(small, on, "left").withColumn("salt_", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts_"), F.lit(1)) - 1))).drop("salts_")
     return dealt.join(copies.hint("merge"), [*on, "salt_"], how).drop("salt_")
+
+
+def least_hashed(rows: DataFrame, key: str, n: int) -> DataFrame:
+    """The n rows whose key has the least hash (ties by key), or all. Before they are ordered, rows are cut down to about
+    2 n by their hash, so that what the partitions send stays in proportion to n."""
+    total = rows.count()
+    h = F.xxhash64(key)
+    if total > 4 * n:
+        rows = rows.filter(h < F.lit(-(2**63) + int(2**64 * (2 * n / total))))
+    return rows.orderBy(h, key).limit(n)

@@ -6,6 +6,9 @@ former changes the inner products that are large. Codes are found by coordinate
 solving each block's weighted least squares. Codebooks are fitted on at most `sample` vectors (those with the least hash
 of their id), a documented bound; every vector is indexed.
 
+All query blocks meet all index blocks, so the work grows with the product of their numbers; there is no coarse
+partitioning that would leave vectors out.
+
 Search: all vectors lie in packed blocks of about `block_rows`; queries in blocks of `query_rows`. Each pair of blocks
 builds the queries' tables (16 products per dimension pair; two tables are merged so that one byte reads eight bits),
 scans the codes, takes the `rerank` best different vectors for each query and computes their inner products exactly, in
@@ -32,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ._common import Lean, stored
+from ._common import Lean, least_hashed, stored
 
 CODES = 16
 WIDTH = 2
@@ -128,11 +131,13 @@ def _valid(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
 
 
 def fit_quantisers(rows: DataFrame, sample: int = 20_000, threshold: float = 0.3) -> dict[int, Quantiser]:
-    """A quantiser for each length of vectors, from at most `sample` vectors in all and at least a few of each length."""
+    """A quantiser for each of the 64 commonest lengths of vectors, from at most `sample` vectors in all and at least a few
+    of each length. Blocks of further lengths get one of their own vectors. Either way the search is exact: quantisers
+    only decide how many vectors are reranked."""
     lengths = [r[0] for r in rows.groupBy(F.size("embedding").alias("dim")).count().orderBy(F.desc("count")).limit(64).collect()]
     out = {}
     for dim in lengths:
-        own = rows.filter(F.size("embedding") == dim).orderBy(F.xxhash64("vec_id"), "vec_id").limit(max(64, sample // len(lengths)))
+        own = least_hashed(rows.filter(F.size("embedding") == dim), "vec_id", max(64, sample // len(lengths)))
         found = [r[0] for r in own.select("embedding").collect()]  # bounded by sample
         out[dim] = Quantiser.fit(np.array(found, np.float64), threshold)
     return out
@@ -227,7 +232,7 @@ def search(blocks: DataFrame, quantisers: dict[int, Quantiser], k: int = 20, eve
         return pd.DataFrame({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), found, strict=True)})
 
     n = blocks.count()
-    pairs = blocks.select("dim", "ids", "starts", "vectors", "codes", "residuals").repartition(max(1, min(n, 2000))).crossJoin(asked.repartition(max(1, min(24 // max(n, 1), 8))))
+    pairs = blocks.select("dim", "ids", "starts", "vectors", "codes", "residuals").repartition(max(1, n)).crossJoin(asked.repartition(max(1, min(24 // max(n, 1), 8))))
     near = pairs.mapInPandas(Lean(scan), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = near.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -41,6 +41,8 @@ CELL_BITS = 18
 BINS = 16
 _CHUNKS = 64
 _NEEDED_BITS = 20
+#: A token that no more classes hold has all of them meet at once.
+_MEET = 512
 _U = np.uint64
 
 
@@ -297,8 +299,23 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _across(rest: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes that share a token, lie in different components and pass all filters. A class meets
-    those of its own length class and of the one above, m classes in about sqrt(m / 256) parts."""
+    """The pairs (a, b) of classes that share a token, lie in different components and pass all filters. Of a token that
+    `m` classes hold, m being small, all meet; those of other tokens meet by length class and in parts."""
+    x, y = rest.filter(F.col("m") <= _MEET).alias("x"), rest.filter(F.col("m") <= _MEET).alias("y")
+    meets = (F.col("x.token") == F.col("y.token")) & (F.col("x.class_id") > F.col("y.class_id")) & _cross_filters(percent)
+    pairs = x.join(y, meets).select(F.col("x.class_id").alias("a"), F.col("y.class_id").alias("b"))
+    return pairs.unionByName(_across_by_length(rest.filter(F.col("m") > _MEET).drop("m"), percent)).distinct()
+
+
+def _cross_filters(percent: int) -> Column:
+    x, y = (lambda c: F.col(f"x.{c}")), (lambda c: F.col(f"y.{c}"))
+    may = _may_link(x("n"), y("n"), x("pos"), y("pos"), percent)
+    return (x("component") != y("component")) & may & _suffix_allows(x("n"), y("n"), x("bins"), y("bins"), percent)
+
+
+def _across_by_length(rest: DataFrame, percent: int) -> DataFrame:
+    """The same for tokens that many classes hold. A class meets those of its own length class and of the one above, m
+    classes in about sqrt(m / 256) parts."""
     step = F.lit(100 / percent)
     size = F.floor(F.log(F.col("n").cast("double")) / F.log(step) + 1e-9) if percent < 100 else F.col("n")
     rest = stored(rest.withColumn("size", size.cast("long")))
@@ -317,11 +334,9 @@ def _across(rest: DataFrame, percent: int) -> DataFrame:
     x, y = x.alias("x"), y.alias("y")
     meets = (
         (F.col("x.token") == F.col("y.token")) & (F.col("x.size") == F.col("y.to.s")) & (F.col("x.part") == F.col("y.part"))
-        & ((F.col("x.size") < F.col("y.size")) | (F.col("x.class_id") > F.col("y.class_id"))) & (F.col("x.component") != F.col("y.component"))
-        & _may_link(F.col("x.n"), F.col("y.n"), F.col("x.pos"), F.col("y.pos"), percent)
-        & _suffix_allows(F.col("x.n"), F.col("y.n"), F.col("x.bins"), F.col("y.bins"), percent)
+        & ((F.col("x.size") < F.col("y.size")) | (F.col("x.class_id") > F.col("y.class_id"))) & _cross_filters(percent)
     )
-    return x.join(y, meets).select(F.greatest("x.class_id", "y.class_id").alias("a"), F.least("x.class_id", "y.class_id").alias("b")).distinct()
+    return x.join(y, meets).select(F.greatest("x.class_id", "y.class_id").alias("a"), F.least("x.class_id", "y.class_id").alias("b"))
 
 
 def link_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -352,8 +367,8 @@ def link_classes(docs: DataFrame, words: int = 3, percent: int = 90) -> tuple[Da
     live = live.join(groups.withColumnRenamed("node", "class_id"), "class_id", "left").withColumn("component", F.coalesce("component", "class_id"))
     live = stored(live)
     forget(bare)
-    split = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi")
-    rest = salted_join(live, stored(split.select("token")), ["token"], often)
+    split = live.groupBy("token").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("m")).filter("lo <> hi")
+    rest = salted_join(live.drop("rank"), stored(split.select("token", "m")), ["token"], often)
     rest = stored(rest.join(classes.select("class_id", "bins").hint("merge"), "class_id"))
     pairs = _across(rest, percent)
     pairs = stored(pairs.join(star, ["a", "b"], "left_anti"))

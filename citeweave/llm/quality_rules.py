@@ -11,7 +11,8 @@ covers all.
 
 Defined cases: a null or empty text has no words, and so fails the base rule. A null label takes no part in learning.
 Without labelled rows of both kinds the list is empty and only the base rule decides. Null doc_ids and repeated rows
-are judged like others. Documents with several labels count as bad if any label says so.
+are judged like others; of rows that share a labelled doc_id, the one with the least statistics is learned from.
+Documents with several labels count as bad if any label says so. Texts of any length are read whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import Lean, free_name, stored
+from ._common import Lean, free_name, least_hashed, stored
 
 #: The columns of the base rule, then those that only the learned rules use.
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -222,13 +223,14 @@ def labelled(labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality"
     """(doc_id, q) of at most `sample` labelled documents, those with the least hash."""
     held = labels.select(F.col(doc_id).alias("doc_id"), F.col(quality).alias("q")).filter("doc_id is not null and q is not null")
     held = held.groupBy("doc_id").agg(F.min("q").alias("q"))
-    return held.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return least_hashed(held, "doc_id", sample)
 
 
 def fit_rules(stats: DataFrame, labels: DataFrame, doc_id: str = "doc_id", quality: str = "quality", sample: int = 20_000) -> list[Rule]:
     """Rules that find documents labelled quality 0, learned from at most `sample` labelled rows."""
-    rows = stats.join(F.broadcast(labelled(labels, doc_id, quality, sample)), "doc_id").select("doc_id", "q", *COUNTS, *RATIOS).toPandas()  # bounded by sample
-    rows = rows.drop_duplicates("doc_id").sort_values("doc_id", kind="stable")
+    rows = stats.join(F.broadcast(labelled(labels, doc_id, quality, sample)), "doc_id").select("doc_id", "q", *COUNTS, *RATIOS)
+    rows = rows.groupBy("doc_id").agg(F.min(F.struct(*[c for c in rows.columns if c != "doc_id"])).alias("r")).select("doc_id", "r.*")
+    rows = rows.toPandas().sort_values("doc_id", kind="stable")  # bounded by sample: one row for each document
     if rows.empty:
         return []
     columns = [*RATIOS, "n_words"]

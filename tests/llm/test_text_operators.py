@@ -214,8 +214,9 @@ def brute_components(rows, n, percent):
     return {i: (len(sets[i]), find(i)) for i in ids}
 
 
-@pytest.mark.parametrize(("n", "percent"), [(3, 90), (5, 80)])
-def test_ngram_join_is_brute_force(spark, n, percent):
+@pytest.mark.parametrize(("n", "percent", "meet"), [(3, 90, 512), (5, 80, 512), (3, 90, 1)])
+def test_ngram_join_is_brute_force(spark, monkeypatch, n, percent, meet):
+    monkeypatch.setattr(ngram_join, "_MEET", meet)  # 1: all meet by length class
     rng = np.random.default_rng(n)
     rows = []
     for family in range(6):
