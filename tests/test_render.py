@@ -59,3 +59,22 @@ def test_pooled_counts_and_confidence_tail(spark):
     spans = spark.createDataFrame([(0.8 + i / 100, True) for i in range(20)] + [(0.1, False)], "conf double, hit boolean")
     r = M.confidence_tail(spans).first()
     assert tuple(r)[:3] == (20, 1, 0.8) and r.below_090 == 10 and r.below_095 == 15 and r.below_098 == 18 and r.smallest == [round(0.8 + i / 100, 4) for i in range(10)]
+
+
+def test_adversarial_area_and_its_leak_free_form(spark):
+    from citeweave.operators import synth
+
+    real = spark.createDataFrame([(i, f"a parte autora pede o numero {i * 7} da causa") for i in range(16)], "doc_id long, text string")
+    alike = spark.createDataFrame([(f"a parte autora pede o numero {i * 11} da causa",) for i in range(16)], "text string")
+    bank, seen = real.select("doc_id", F.lit("x").alias("entry")), []
+
+    def generate(allowed, fold):
+        seen.append({r.doc_id for r in allowed.collect()})
+        return alike.select(F.concat(F.lit("zzz qqq "), "text").alias("text"))
+
+    options = {"folds": 2, "repeats": 1, "features": 256}
+    areas = synth.leak_free_auc(real, bank, generate, folds=2, **{k: v for k, v in options.items() if k != "folds"})
+    assert areas == [1.0, 1.0] and seen[0] | seen[1] == set(range(16)) and not seen[0] & seen[1]
+    both = real.select("text", F.lit(1).alias("real")).unionByName(alike.select("text", F.lit(0).alias("real")))
+    mean, spread = synth.adversarial_auc(both, "text", "real", **options)
+    assert 0.0 <= mean < 1.0 and spread == 0.0
